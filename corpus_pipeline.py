@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillsift.llm import quality_rules
+from quillsift.llm import line_dedup, quality_rules
 from quillsift.llm.common import scratch
 
 
@@ -17,7 +17,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.accepted(docs)
 
 
-STAGES = [("quality_rules", quality)]
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier document has go; documents without any line left go with them."""
+    return line_dedup.dedup(docs)
+
+
+STAGES = [("quality_rules", quality), ("line_dedup", lines)]
 
 #: Tokenisers and signatures are beyond SQL; tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None
