@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillsift.llm import line_dedup, quality_rules
+from quillsift.llm import line_dedup, near_dedup, quality_rules
 from quillsift.llm.common import scratch
 
 
@@ -22,7 +22,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(docs)
 
 
-STAGES = [("quality_rules", quality), ("line_dedup", lines)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the least doc_id."""
+    return near_dedup.deduplicated(docs)
+
+
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_dedup", near)]
 
 #: Tokenisers and signatures are beyond SQL; tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None
