@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillsift.llm import line_dedup, near_dedup, quality_rules
+from quillsift.llm import decontaminate, line_dedup, near_dedup, quality_rules
 from quillsift.llm.common import scratch
 
 
@@ -27,7 +27,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dedup.deduplicated(docs)
 
 
-STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_dedup", near)]
+def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_dedup", near), ("decontaminate", benchmarks)]
 
 #: Tokenisers and signatures are beyond SQL; tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None

@@ -180,7 +180,7 @@ def matrix_of(col: pa.Array, kind: type) -> np.ndarray:
     return np.frombuffer(data, np.uint8)[offs[0] : offs[-1]].reshape(len(col), -1).view(kind)
 
 
-def bounded(df: DataFrame, limit: int) -> list | None:
+def bounded(df: DataFrame, limit: int) -> pa.Table | None:
     """The rows where there are at most limit of them, else None: the check before anything is sent to every executor."""
-    got = df.limit(limit + 1).collect()
-    return None if len(got) > limit else got
+    got = df.limit(limit + 1).toArrow()
+    return None if got.num_rows > limit else got
