@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillsift.llm import decontaminate, line_dedup, near_dedup, quality_rules
+from quillsift.llm import decontaminate, line_dedup, near_dedup, packing, quality_rules
 from quillsift.llm.common import scratch
 
 
@@ -32,7 +32,12 @@ def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_dedup", near), ("decontaminate", benchmarks)]
+def batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every remaining document in the training batches."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_dedup", near), ("decontaminate", benchmarks), ("packing", batches)]
 
 #: Tokenisers and signatures are beyond SQL; tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None
