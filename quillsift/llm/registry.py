@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillsift.llm import decontaminate, line_dedup, lm_score, near_dedup, packing, quality_rules
+from quillsift.llm import decontaminate, line_dedup, lm_score, near_dedup, packing, quality_model, quality_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_dedup, op4_packing, op6_decontaminate, op7_line_dedup, op9_quality_rules, op10_lm_score)}
+    return {f.__name__: f for f in (op2_near_dedup, op3_quality_model, op4_packing, op6_decontaminate, op7_line_dedup, op9_quality_rules, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
