@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import SPACE_SPLIT, WORDS, byte_class, cut, rows_of, word_hashes, word_spans
+from quillsift.llm.common import SPACE_SPLIT, WORDS, byte_class, cut, mix64, rows_of, word_hashes, word_spans
 
 HEADS = ("quality", "toxic")
 _CLASS = np.zeros(256, np.int64)
@@ -62,6 +62,15 @@ def doc_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return word_hashes(low, starts, ends), rows
 
 
+def doc_terms(data: np.ndarray, offs: np.ndarray, stem: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """What the lexicon weighs: the words, and the first bytes of longer words, as inflected forms share them."""
+    low = _LOWER[data]
+    starts, ends, rows = word_spans(low, offs, WORDS)
+    long = ends - starts > stem
+    stems = mix64(word_hashes(low, starts[long], starts[long] + stem))
+    return np.concatenate([word_hashes(low, starts, ends), stems]), np.concatenate([rows, rows[long]])
+
+
 def statistics(data: np.ndarray, offs: np.ndarray, lexicon: Lexicon) -> np.ndarray:
     """One row of NAMES per document."""
     n, size = len(offs) - 1, np.diff(offs)
@@ -88,6 +97,7 @@ def statistics(data: np.ndarray, offs: np.ndarray, lexicon: Lexicon) -> np.ndarr
         out[:, CLASSES + 4] = top / safe
         same = (h[1:] == h[:-1]) & (owner[1:] == owner[:-1])
         out[:, CLASSES + 5] = np.bincount(owner[1:][same], minlength=n) / safe
+        h, owner = doc_terms(data, offs)
         q, t = lexicon.weights(h)
         out[:, CLASSES + 6] = np.bincount(owner, q, n) / safe
         out[:, CLASSES + 7] = np.bincount(owner, np.minimum(q, 0), n) / safe
@@ -151,7 +161,7 @@ def find_words(sample: DataFrame, least: int = 5, most: int = 20_000) -> Lexicon
         for b in batches:
             q, t = (b.column(i).to_numpy().astype(np.int64) for i in (1, 2))
             for lo, _, data, offs in rows_of(b, "text"):
-                h, owner = doc_words(data, offs)
+                h, owner = doc_terms(data, offs)
                 pair = np.unique(np.stack([h, owner.astype(np.uint64)], 1), axis=0)
                 who = lo + pair[:, 1].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy().view(np.int64)), pa.array(1 - q[who]), pa.array(t[who])], names=["h", "bad", "toxic"])
