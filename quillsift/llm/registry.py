@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillsift.llm import decontaminate, line_dedup, lm_score, near_dedup, packing, quality_model, quality_rules
+from quillsift.llm import decontaminate, line_dedup, lm_score, near_dedup, packing, quality_model, quality_rules, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,13 +37,17 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
     return lm_score.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_dedup, op3_quality_model, op4_packing, op6_decontaminate, op7_line_dedup, op9_quality_rules, op10_lm_score)}
+    return {f.__name__: f for f in (op2_near_dedup, op3_quality_model, op4_packing, op6_decontaminate, op7_line_dedup, op8_secret_scan, op9_quality_rules, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
