@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillsift.llm import decontaminate, line_dedup, lm_score, near_dedup, packing, quality_model, quality_rules, secret_scan
+from quillsift.llm import chat_format, decontaminate, line_dedup, lm_score, near_dedup, packing, quality_model, quality_rules, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.spans(table(spark, sf_dir, "conversations"))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -47,8 +51,8 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_dedup, op3_quality_model, op4_packing, op6_decontaminate, op7_line_dedup, op8_secret_scan, op9_quality_rules, op10_lm_score)}
+    return {f.__name__: f for f in (op1_chat_format, op2_near_dedup, op3_quality_model, op4_packing, op6_decontaminate, op7_line_dedup, op8_secret_scan, op9_quality_rules, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontaminate": decontaminate.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
+    return {"op1_chat_format": chat_format.ORACLE, "op6_decontaminate": decontaminate.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
