@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillsift.llm import chat_format, decontaminate, line_dedup, lm_score, near_dedup, packing, quality_model, quality_rules, secret_scan
+from quillsift.llm import chat_format, decontaminate, line_dedup, lm_score, near_dedup, packing, quality_model, quality_rules, secret_scan, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,14 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_index(table(spark, sf_dir, "pages"))
+
+
+def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -51,8 +59,8 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_near_dedup, op3_quality_model, op4_packing, op6_decontaminate, op7_line_dedup, op8_secret_scan, op9_quality_rules, op10_lm_score)}
+    return {f.__name__: f for f in (op1_chat_format, op2_near_dedup, op3_quality_model, op4_packing, op5_warc_normalise, warc_round_trip, op6_decontaminate, op7_line_dedup, op8_secret_scan, op9_quality_rules, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat_format.ORACLE, "op6_decontaminate": decontaminate.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
+    return {"warc_round_trip": warc.ROUND_TRIP_ORACLE, "op1_chat_format": chat_format.ORACLE, "op6_decontaminate": decontaminate.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
