@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.functions import columns as C
+from quillsift.functions import kernels as K
 from quillsift.functions import taxonomy as T
 from quillsift.functions import udfs as U
 
@@ -57,21 +61,25 @@ def reports(docs: DataFrame, text: str = "text", kind: str = "text") -> DataFram
     )
 
 
-def report_json(reports_: DataFrame) -> DataFrame:
-    """Adds the report as ASCII-only JSON."""
-    body = F.to_json(F.struct(
-        F.col("kind"),
-        F.struct("findings", "counts_by_category", "counts_by_severity", "total", F.struct("parse_status", "coverage", "warnings").alias("status")).alias("verifiable"),
-        F.col("undeterminable").alias("not_determinable"),
-    ))
-    return reports_.withColumn("_json", body).withColumn("json", _ascii("_json")).drop("_json")
+NOT_DETERMINABLE = [{"claim": "statistical text watermark", "reason": "not evaluated: no detector or scheme is known here"}]
+
+
+def report_dict(found: K.Inspection, source: str, kind: str = "text") -> dict:
+    """The report of one document as nested plain values."""
+    by_category = sorted(Counter(f.category for f in found.findings).items(), key=lambda x: (-x[1], x[0]))
+    status = {"parse_status": found.parse_status, "coverage": "code points and mixed scripts", "warnings": found.warnings, "refusal_reasons": []}
+    shown = {"findings": [f._asdict() for f in found.findings], "counts_by_category": dict(by_category), "counts_by_severity": dict(Counter(f.severity for f in found.findings)), "metadata": {}, "total": len(found.findings), "status": status}
+    return {"source": source, "kind": kind, "verifiable": shown, "not_determinable": NOT_DETERMINABLE, "changed": False, "removed": 0, "folded": 0, "normalized": 0, "transformed": 0}
 
 
 @U._arrow("string")
-def _ascii(json: pd.Series) -> pd.Series:
-    import json as j
+def _json(text: pd.Series, source: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else json.dumps(report_dict(K.inspect(t), s), ensure_ascii=True) for t, s in zip(text, source)])
+
 
-    return json.map(lambda s: None if s is None else j.dumps(j.loads(s), ensure_ascii=True, separators=(",", ":")))
+def report_json(docs: DataFrame, source: str, text: str = "text") -> DataFrame:
+    """The source column and each document's report as ASCII-only JSON."""
+    return docs.select(source, _json(F.col(text), F.col(source).cast("string")).alias("json"))
 
 
 def clean(docs: DataFrame, profile: F.Column | str = "prose", text: str = "text") -> DataFrame:

@@ -159,7 +159,7 @@ def counts_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ASCII-only JSON per document."""
-    return inspection.report_json(inspection.reports(_docs(spark, sf_dir))).select("doc_id", "json")
+    return inspection.report_json(_docs(spark, sf_dir), "doc_id")
 
 
 @query(lambda: O.characters() + ", n AS (SELECT doc_id, count(*) AS n FROM found GROUP BY 1) SELECT l.quality, l.toxic, count(*) AS docs, CAST(sum(coalesce(n.n, 0)) AS BIGINT) AS findings FROM labels l JOIN documents d USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY 1, 2")
