@@ -138,7 +138,8 @@ class LineStore:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, shards: int, min_chars: int = 24) -> LineStore:
-        return cls(spark.read.schema(REFS).parquet(f"{path}/refs"), spark.read.schema(FILTERS).parquet(f"{path}/filters"), shards, min_chars)
+        refs = spark.read.schema(REFS).parquet(f"{path}/refs").select(*[x.split()[0] for x in REFS.split(", ")])
+        return cls(refs, spark.read.schema(FILTERS).parquet(f"{path}/filters"), shards, min_chars)
 
     def lines(self, docs: DataFrame) -> DataFrame:
         """One row per line that takes part: its hashes and where it is."""
