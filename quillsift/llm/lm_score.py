@@ -28,25 +28,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.llm import pieces
-from quillsift.llm.common import cut, i64, rows_of
+from quillsift.llm.common import bounded, cut, i64, rows_of
 
 START = 1  # every document begins after the start piece
 DISCOUNT = 0.75
 
 
-def encoded(docs: DataFrame, target: DataFrame, model: str) -> DataFrame:
-    """(doc_id, in_target, ids): the piece ids of every whole text as 16-bit values."""
+def encoded(docs: DataFrame, target: DataFrame, model: str, target_limit: int = 2_000_000) -> DataFrame:
+    """(doc_id, in_target, ids): the piece ids of every whole text as 16-bit values.
+
+    Up to target_limit ids of the target set go to every task, so that encoded texts stay where
+    they are; a larger set is joined by a shuffle.
+    """
+    t = target.select(F.col("doc_id").cast("bigint").alias("_t")).where("_t IS NOT NULL").distinct()
+    few = bounded(t, target_limit)
+    sent = docs.sparkSession.sparkContext.broadcast(np.sort(few.column(0).to_numpy())) if few is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, _, _ in rows_of(b):
                 ids, offs = pieces.encode_docs(b.column(1).slice(lo, hi - lo).to_pylist(), model)
                 raw = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((offs * 2).astype(np.int32)), pa.py_buffer(ids.tobytes())])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), raw], names=["doc_id", "ids"])
-
-    t = target.select(F.col("doc_id").cast("bigint").alias("_t")).where("_t IS NOT NULL").distinct()
-    src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, ids binary")
-    # Joined after encoding, when rows are small.
+                own = b.column(0).slice(lo, hi - lo)
+                inside = np.zeros(hi - lo, bool)
+                if sent is not None and len(sent.value):
+                    known = np.minimum(np.searchsorted(sent.value, own.fill_null(0).to_numpy()), len(sent.value) - 1)
+                    inside = (sent.value[known] == own.fill_null(0).to_numpy()) & own.is_valid().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([own, pa.array(inside), raw], names=["doc_id", "in_target", "ids"])
+
+    src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, in_target boolean, ids binary")
+    if few is not None:
+        return src
     return src.join(t, src["doc_id"] == t["_t"], "left").select("doc_id", F.col("_t").isNotNull().alias("in_target"), "ids")
 
 
@@ -124,7 +136,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, model: str = pi
     """(doc_id, n_tokens, loss_background, loss_target, score) of every document; losses in nats a token."""
     have = cut(encoded(docs, target, model))
     vocabulary = len(pieces.word_cache(model).is_byte)
-    table = cut(probabilities(bigram_counts(have), vocabulary))
+    table = cut(probabilities(cut(bigram_counts(have)), vocabulary))
     if table.count() <= broadcast_limit:
         return _by_lookup(have, table)
     return _by_join(have, table)
