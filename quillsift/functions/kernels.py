@@ -384,7 +384,7 @@ def clean(text: str, profile: str = "prose", max_text: int = T.MAX_TEXT) -> Clea
 
 # --- display ------------------------------------------------------------------
 
-_UNSAFE = re.compile("[\x00-\x1f\x7f-\x9f\u061c\u200e\u200f\u202a-\u202e\u2066-\u2069]")
+_UNSAFE = re.compile("[\x00-\x1f\x7f-\x9f\u061c\u200e\u200f\u202a-\u202e\u2066-\u2069\ud800-\udfff]")
 
 
 def terminal_safe(text: str) -> str:

@@ -11,7 +11,7 @@ from quillsift.functions import udfs as U
 from quillsift.operators import inspection
 from quillsift.sources import containers
 
-SKIPPED = (".git", ".hg", ".svn", ".tox", ".venv", "venv", "__pycache__", "node_modules", ".mypy_cache", ".pytest_cache", ".ruff_cache", "dist", "build", ".eggs")
+SKIPPED = (".git", ".hg", ".svn", ".tox", ".nox", ".venv", "venv", "__pycache__", "node_modules", ".mypy_cache", ".pytest_cache", ".ruff_cache", "dist", "build")
 MAX_FILES = 10_000
 MAX_TOTAL = 256 << 20
 
