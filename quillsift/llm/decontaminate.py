@@ -30,11 +30,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillsift.llm.common import WORDS, bounded, cut, i64, rows_of, shingles, word_hashes, word_spans
 from quillsift.llm.quality_rules import without
 
+KEY = ("doc_id", "text_hash", "item_id", "item_hash")
 HITS = "doc_id bigint, text_hash bigint, n_shingles bigint, pos bigint, h bigint"
 
 
@@ -79,8 +79,8 @@ def _windows(key: tuple, hits: pd.DataFrame) -> pd.DataFrame:
             lo += 1
         if len(seen) > best:
             best, at = len(seen), pos[lo]
-    first = hits.iloc[0]
-    return pd.DataFrame({"doc_id": [first["doc_id"]], "text_hash": [first["text_hash"]], "item_id": [first["item_id"]], "matched": [best], "m": [int(first["m"])], "pos": [at]}).astype({"doc_id": "Int64", "item_id": "Int64"})
+    doc, text, item, _ = key
+    return pd.DataFrame({"doc_id": [doc], "text_hash": [text], "item_id": [item], "matched": [best], "m": [int(hits["m"].iloc[0])], "pos": [at]}).astype({"doc_id": "Int64", "item_id": "Int64"})
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, theta: float = 0.7, broadcast_limit: int = 2_000_000) -> DataFrame:
@@ -98,17 +98,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, theta: float
     need = F.ceil(F.col("m") * F.lit(theta) - 1e-9).cast("bigint")
     ranked = rows.join(rarity, "h", "left").withColumn("m", F.count(F.lit(1)).over(item)).withColumn("need", need)
     ranked = ranked.withColumn("rank", F.row_number().over(item.orderBy(F.coalesce("df", F.lit(0)), "h"))).drop("df")
-    prefix = ranked.where("rank <= m - need + 1")
-    found = hits.join(prefix, "h").where("n_shingles >= need").select("doc_id", "text_hash", "item_id", "item_hash", "span", "m", "need", F.col("pos").alias("near"))
-    # Positional bound: a prefix hit needs o hits of its item, itself among them, in windows that hold it.
-    other = hits.select(F.col("doc_id").alias("od"), F.col("text_hash").alias("ot"), F.col("pos").alias("op"), F.col("h").alias("oh"))
-    x = found.join(other, F.col("doc_id").eqNullSafe(F.col("od")) & (F.col("text_hash") == F.col("ot")) & (F.abs(F.col("op") - F.col("near")) < F.col("span")))
-    own = rows.select(F.col("item_id").alias("oi"), F.col("item_hash").alias("oih"), F.col("h").alias("ih"))
-    x = x.join(own, F.col("item_id").eqNullSafe(F.col("oi")) & (F.col("item_hash") == F.col("oih")) & (F.col("oh") == F.col("ih")), "left_semi")
-    x = x.select("doc_id", "text_hash", "item_id", "item_hash", "span", "m", "need", "near", F.col("op").alias("pos"), F.col("oh").alias("h"))
-    enough = _by("doc_id", "text_hash", "item_id", "item_hash", "near")
-    x = x.withColumn("around", F.size(F.collect_set("h").over(enough))).where("around >= need").drop("near", "around").distinct()
-    out = x.groupBy("doc_id", "text_hash", "item_id", "item_hash").applyInPandas(_windows, T._parse_datatype_string("doc_id bigint, text_hash bigint, item_id bigint, matched bigint, m bigint, pos bigint"))
+    # Length bound: a text needs at least o shingles. Buckets are as long as the item, so a window that
+    # holds a prefix hit lies in its bucket and the two beside it.
+    x = hits.join(ranked, "h").where("n_shingles >= need").withColumn("bucket", F.floor(F.col("pos") / F.col("span")))
+    beside = _by(*KEY).orderBy("bucket").rangeBetween(-1, 1)
+    # Positional bound: these three buckets must have o hits of the item.
+    sure = (F.col("rank") <= F.col("m") - F.col("need") + 1) & (F.count(F.lit(1)).over(beside) >= F.col("need"))
+    x = x.withColumn("sure", sure).where("n_shingles >= need").withColumn("near", F.max("sure").over(beside)).where("near")
+    out = x.select(*KEY, "span", "m", "pos", "h").groupBy(*KEY).applyInPandas(_windows, "doc_id bigint, text_hash bigint, item_id bigint, matched bigint, m bigint, pos bigint")
     return out.where(F.col("matched") >= F.ceil(F.col("m") * F.lit(theta) - 1e-9))
 
 
