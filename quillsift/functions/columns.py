@@ -77,12 +77,12 @@ def _compatibility() -> tuple[tuple[str, str], ...]:
 
 
 def fold_compatibility(text: Column) -> Column:
-    """NFKC forms of ASCII, as a translation and one replacement for each longer form that occurs."""
-    out = _translate(text, dict(_compatibility()))
+    """NFKC forms of ASCII: a translation, and a lookup by character only where a longer form occurs."""
     longer = {k: v for k, v in _compatibility() if len(v) > 1}
-    for k, v in longer.items():
-        out = F.replace(out, F.lit(k), F.lit(v))
-    return out
+    table = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
+    chars = F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c))
+    has_longer = text.rlike(T.regex_class(T.runs_of([ord(k) for k in longer])))
+    return _translate(F.when(has_longer, F.array_join(chars, "")).otherwise(text), dict(_compatibility()))
 
 
 def detect_format(content: Column, path: Column | None = None) -> Column:
