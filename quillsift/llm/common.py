@@ -10,7 +10,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 U64 = np.uint64
 _ODD = U64(0x9E3779B97F4A7C15)
@@ -38,9 +37,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def keyed(docs: DataFrame, *extra: str) -> DataFrame:
-    """doc_id, text and a hash of the text; only these columns, so clashing extra names can't matter."""
-    return docs.select("doc_id", "text", *extra, F.xxhash64("text").alias("text_hash"))
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a scratch table that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def rows_of(batch: pa.RecordBatch, name: str = "text", max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
