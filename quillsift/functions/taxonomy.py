@@ -240,10 +240,13 @@ def _assigned() -> Iterator[int]:
 def category_ranges() -> tuple[tuple[int, int, str], ...]:
     """Every flagged code point, as (lo, hi, category). Surrogates are not characters of a string column."""
     by: dict[str, list[int]] = {}
-    for cp in _assigned():
-        if c := category.__wrapped__(cp):
-            by.setdefault(c, []).append(cp)
-    return tuple((lo, hi, c) for c, cps in sorted(by.items()) for lo, hi in runs_of(cps))
+    # Ideographs and Hangul syllables are letters; planes 15 and 16 are private but for their last two code points.
+    for lo, hi in ((0, 0x33FF), (0x4DC0, 0x4DFF), (0xA000, 0xABFF), (0xD7A4, 0xD7FF), (0xE000, 0x1FFFF), (0x2F800, 0x2FA1F), (0xE0000, 0xE0FFF)):
+        for cp in range(lo, hi + 1):
+            if c := category.__wrapped__(cp):
+                by.setdefault(c, []).append(cp)
+    rows = [(lo, hi, c) for c, cps in by.items() for lo, hi in runs_of(cps)]
+    return tuple(sorted([*rows, (0xF0000, 0xFFFFD, "private_use"), (0x100000, 0x10FFFD, "private_use")], key=lambda r: (r[2], r[0])))
 
 
 def regex_class(rs, negate: bool = False) -> str:
