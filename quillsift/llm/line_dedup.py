@@ -21,7 +21,6 @@ equal results; a null doc_id sorts first; other columns pass unchanged.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -149,7 +148,7 @@ class LineStore:
         return x.withColumn("shard", F.pmod("h1", F.lit(self.shards)).cast("int"))
 
     def insert(self, docs: DataFrame) -> tuple[LineStore, DataFrame]:
-        """The new store, and (doc_id, text_hash, drop) with the numbers of the lines to remove."""
+        """The new store, and (doc_id, text_hash, drop, dropped): a bitmap of the lines to remove and their number."""
         lines = self.lines(docs)
         # A row that repeats a (doc_id, text) is the same document: its lines are counted once.
         place = F.struct("doc_id", "text_hash", "line")
@@ -162,7 +161,9 @@ class LineStore:
         owned = batch.join(before, ["h1", "h2"], "left").where((F.col("n") > 1) | F.col("owner").isNotNull())
         owned = owned.select("h1", "h2", F.coalesce("owner", "first").alias("owner"))
         later = lines.join(owned, ["h1", "h2"]).where(~place.eqNullSafe(F.col("owner")))
-        drop = later.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("drop"))
+        # The lines to drop as 64-bit words, so that a text of very many lines looks each up in few steps.
+        words = later.groupBy("doc_id", "text_hash", F.shiftright("line", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, line % 64)")).alias("bits"))
+        drop = words.groupBy("doc_id", "text_hash").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("drop"), F.sum(F.bit_count("bits")).alias("dropped"))
         refs = lines.dropDuplicates(["doc_id", "text_hash", "line"]).groupBy("shard", "h1", "h2", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("first_line"))
         ids = self.refs.select("doc_id", "text_hash").distinct()
         refs = refs.join(ids, refs["doc_id"].eqNullSafe(ids["doc_id"]) & (refs["text_hash"] == ids["text_hash"]), "left_anti")
@@ -239,12 +240,11 @@ def shard_count(docs: DataFrame) -> int:
 def rebuilt(docs: DataFrame, drop: DataFrame) -> DataFrame:
     """docs with the given lines taken out of their texts, and _qs_dropped with their number."""
     d = docs.withColumn("_qs_hash", F.xxhash64("text"))
-    b = drop.select(F.col("doc_id").alias("_qs_id"), F.col("text_hash").alias("_qs_bad"), F.col("drop").alias("_qs_drop"))
+    b = drop.select(F.col("doc_id").alias("_qs_id"), F.col("text_hash").alias("_qs_bad"), F.col("drop").alias("_qs_drop"), F.col("dropped").alias("_qs_dropped"))
     j = d.join(b, d["doc_id"].eqNullSafe(b["_qs_id"]) & (d["_qs_hash"] == b["_qs_bad"]), "left")
-    kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_qs_drop", i))
-    text = F.when(F.col("_qs_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    dropped = F.coalesce(F.size("_qs_drop"), F.lit(0))
-    return j.withColumn("_qs_dropped", F.when(F.col("_qs_drop").isNull(), 0).otherwise(dropped)).withColumn("text", text)
+    gone = lambda i: F.coalesce(F.getbit(F.try_element_at("_qs_drop", F.shiftright(i, 6)), i % 64), F.lit(0)) == 1
+    text = F.when(F.col("_qs_drop").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~gone(i)), "\n"))
+    return j.withColumn("_qs_dropped", F.coalesce("_qs_dropped", F.lit(0))).withColumn("text", text)
 
 
 def dedup(docs: DataFrame, min_chars: int = 24, store: LineStore | None = None, drop_empty: bool = True) -> DataFrame:

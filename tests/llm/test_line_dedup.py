@@ -92,3 +92,9 @@ def test_odd_rows(spark, odd, empty):
     rows = {(r.doc_id, r.text) for r in out.select("doc_id", "text").collect()}
     assert (9, "the same line of thirty letters") in rows and (2, None) in rows and (3, "") in rows and (None, None) in rows
     assert L.line_dedup(odd).count() == odd.count()
+
+
+def test_texts_of_many_lines(spark):
+    rng = random.Random(9)
+    rows = [(i, "\n".join(f"some line of many, number {rng.randrange(900)}" for _ in range(1500))) for i in range(4)]
+    assert {r.doc_id: r.text for r in L.line_dedup(make(spark, rows)).collect()} == brute(rows)
