@@ -5,10 +5,13 @@ token, the share of byte-fallback tokens and the token entropy, normalised by
 the entropy that as many distinct tokens would have. Rejection bands are
 Tukey fences over all documents of a language (of a script where the language
 is missing) and of a size class, as entropy depends on length; groups under
-``min_group`` documents use the fences of their size class over all languages.
+``min_group`` documents use the fences of their own language over their size
+class and the two beside it. Where that is under ``min_group`` too, there is too
+little evidence: other languages never judge a document.
 
 Defined results: null, empty and blank texts and texts under ``min_tokens``
-tokens have too little evidence and are kept; a null doc_id is carried along;
+tokens have too little evidence and are kept, as are those of groups without
+fences; a null doc_id is carried along;
 repeated rows get equal results; an empty table gives an empty result; other
 columns are not looked at.
 """
@@ -77,9 +80,12 @@ def decide(metrics: DataFrame, min_tokens: int = 24, min_group: int = 100, width
     m = metrics.withColumn("size_class", F.least(F.floor(F.log2(F.greatest("n_tokens", F.lit(1))) / 1.5), F.lit(12)).cast("int"))
     enough = m.where(F.col("n_tokens") >= min_tokens)
     aggs = [F.count(F.lit(1)).alias("n")] + [F.percentile(step(c), F.array(F.lit(0.25), F.lit(0.75))).alias(a) for c, a in (("chars_per_token", "qf"), ("byte_share", "qb"), ("token_entropy", "qe"))]
-    own = enough.groupBy("band", "size_class").agg(*aggs).where(F.col("n") >= min_group).select("band", "size_class", F.struct("qf", "qb", "qe").alias("own"))
-    every = enough.groupBy("size_class").agg(*aggs).select("size_class", F.struct("qf", "qb", "qe").alias("every"))
-    j = m.join(own, ["band", "size_class"], "left").join(every, "size_class", "left").withColumn("q", F.coalesce("own", "every"))
+    groups = enough.groupBy("band", "size_class").agg(*aggs)
+    own = groups.where(F.col("n") >= min_group).select("band", "size_class", F.struct("qf", "qb", "qe").alias("own"))
+    few = groups.where(F.col("n") < min_group).select("band", "size_class")
+    around = enough.withColumn("size_class", F.explode(F.array(*[F.col("size_class") + i for i in (-1, 0, 1)]))).join(few, ["band", "size_class"], "left_semi")
+    pooled = around.groupBy("band", "size_class").agg(*aggs).where(F.col("n") >= min_group).select("band", "size_class", F.struct("qf", "qb", "qe").alias("pooled"))
+    j = m.join(own, ["band", "size_class"], "left").join(pooled, ["band", "size_class"], "left").withColumn("q", F.coalesce("own", "pooled"))
 
     def fence(q: str, sign: int, least: float) -> F.Column:
         lo, hi = F.col(f"q.{q}")[0], F.col(f"q.{q}")[1]

@@ -59,6 +59,27 @@ def test_decisions_against_brute_force(spark):
     assert {r.doc_id for r in Q.accepted(docs, min_group=20).collect()} == {i for i, r in got.items() if r.keep}
 
 
+def test_rare_languages_are_not_judged_by_others(spark):
+    rng = random.Random(6)
+    english = "the house of people and water in time with other work they made new from many good days".split()
+    greek = "το σπίτι των ανθρώπων και νερό στον χρόνο με άλλη δουλειά που έκαναν νέα από πολλές καλές ημέρες".split()
+    text = lambda words, lo, hi: " ".join(rng.choice(words) for _ in range(rng.randrange(lo, hi)))
+    rows = [(i, text(english, 60, 500), "en") for i in range(600)]
+    rows += [(1000 + i, text(greek, 10, 120), "el") for i in range(60)] + [(1100 + i, text(greek, 10, 120), None) for i in range(40)]
+    got = {r.doc_id: r for r in Q.quality_rules(make(spark, rows)).collect()}
+    assert all(got[i].keep for i in got if i >= 1000)
+
+
+def test_small_groups_pool_neighbouring_sizes_of_their_language(spark):
+    rng = random.Random(7)
+    rows = [(i, prose(rng, rng.randrange(25, 120), 50), "xx") for i in range(180)] + [(200 + i, "same same same " * 50, "xx") for i in range(3)]
+    docs = make(spark, rows)
+    got = {r.doc_id: r for r in Q.quality_rules(docs, min_group=150).collect()}
+    sizes = [r.size_class for r in got.values() if r.n_tokens >= 24]
+    assert max(map(sizes.count, sizes)) < 150
+    assert not any(got[i].keep for i in range(200, 203)) and statistics.mean(got[i].keep for i in range(180)) > 0.97
+
+
 def test_odd_rows(spark, odd, empty):
     out = Q.accepted(odd)
     assert out.columns == odd.columns
