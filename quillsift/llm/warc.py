@@ -5,7 +5,8 @@ be read without all before it. normalise() inflates each file once, piece by
 piece, writes every record as a gzip member of its own into a new file and a
 sidecar index of (record, offset, length, type, uri, payload size, digest).
 With the index a reader fetches one record by one ranged read. Memory does not
-grow with the file; one compressed record is held until it proves whole.
+grow with the file; one header, of any length, and one compressed record are
+held until the record proves whole.
 
 Files live in a folder that all executors share, reached through its URI. Each
 task writes under a name of its own attempt and renames when complete, so
@@ -119,11 +120,16 @@ class Inflated:
         return False
 
     def header(self) -> bytes | None:
-        """Up to the blank line; None where there is no whole header."""
+        """Up to the blank line, however far; None where there is no whole header.
+
+        What doesn't begin like a record is given back once a piece is held, not read to the end.
+        """
         at = 0
         while (end := self.held.find(b"\r\n\r\n", max(0, at - 3))) < 0:
             at = len(self.held)
-            if at > 1 << 20 or not self.fill():
+            if at > PIECE and not self.held.startswith(b"WARC/"):
+                return bytes(self.held)
+            if not self.fill():
                 return None
         out = bytes(self.held[: end + 4])
         del self.held[: end + 4]

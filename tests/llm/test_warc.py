@@ -46,6 +46,15 @@ def test_broken_files(tmp_path):
     assert gzip.decompress((tmp_path / "out" / "a.warc.gz").read_bytes() or gzip.compress(b"")) == b""
 
 
+def test_a_url_of_megabytes_hides_no_record(spark, tmp_path):
+    rows = [(1, "data:text/plain," + "a" * 1_300_000, "x"), (2, "http://ü/" + "é" * 400_000, "y"), (3, "http://c", "z")]
+    folder = f"file://{tmp_path}"
+    index = W.normalise(W.write_monolithic(spark.createDataFrame(rows, PAGES).coalesce(1), folder + "/in"), folder + "/out")
+    assert [r.status for r in index.collect()] == ["complete"] * 3
+    assert sorted(map(tuple, W.read_records(index, folder + "/out").collect())) == rows
+    assert archive(tmp_path, gzip.compress(W.record_bytes(1, "u", "a") + b"junk" * 500_000)) == [(0, "complete"), (1, "malformed")]
+
+
 @pytest.mark.parametrize("n", [0])
 def test_no_pages(spark, n):
     empty = spark.createDataFrame([], PAGES)
