@@ -23,14 +23,28 @@ def test_boundaries_are_optimal():
             assert len(got) <= k and waste(lengths, got) == best
 
 
-def test_bins_are_exact_below_64_and_within_2_percent_above(spark):
-    rows = spark.range(0, 5000).select(P.length_bin(P.F.col("id")).alias("b"), "id").collect()
-    by = {}
-    for r in rows:
-        by.setdefault(r.b, []).append(r.id)
-    assert all(len(v) == 1 or (v[0] >= 64 and (v[-1] - v[0]) / v[0] < 0.02) for v in by.values())
-    order = [v[0] for _, v in sorted(by.items())]
-    assert order == sorted(order)
+def plain_boundaries(longest, count, buckets):
+    """The same programme without halving."""
+    m = len(longest)
+    total = np.concatenate([[0], np.cumsum(count)])
+    best, back = [0] + [float("inf")] * m, []
+    for _ in range(buckets):
+        rows = [min((best[i] + (total[j] - total[i]) * longest[j - 1], i) for i in range(j)) for j in range(1, m + 1)]
+        best = [0] + [c for c, _ in rows]
+        back.append([0] + [i for _, i in rows])
+    return best[m]
+
+
+def test_long_lengths_are_optimal_too():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 17, 150):
+        for k in (1, 3, 12):
+            values = np.unique(np.exp(rng.uniform(0, 12, n)).astype(np.int64))
+            counts = rng.integers(1, 1000, len(values))
+            ends = P.best_boundaries(values, counts, k)
+            assert ends[-1] == values[-1] and len(ends) <= k
+            padded = sum(int(c) * next(e for e in ends if e >= v) for v, c in zip(values.tolist(), counts))
+            assert padded == plain_boundaries(values, counts, k)
 
 
 def check(rows, budget):
@@ -50,16 +64,17 @@ def check(rows, budget):
 def test_batches(spark):
     rng = random.Random(2)
     rows = [(i if i % 7 else None, rng.choice([0, 1, 3, 50, 70, 700, 3000])) for i in range(400)] + [(5, 3), (5, 3)]
-    got = P.pack_counts(spark.createDataFrame(rows, "doc_id bigint, n_tokens bigint"), buckets=4, budget=500, blocks=8).collect()
+    got = P.pack_counts(spark.createDataFrame(rows, "doc_id bigint, n_tokens bigint"), buckets=4, budget=500, block_rows=20).collect()
     assert len(got) == len(rows) and len({r.bucket_len for r in got}) <= 4
     check(got, 500)
 
 
 def test_counts_are_those_of_the_tokeniser(spark):
     d = make(spark, [(1, "Hello wörld, again"), (2, None), (3, ""), (4, "日本語 " * 5)])
-    model = pieces.word_cache(pieces.DEFAULT_MODEL).model
-    got = {r.doc_id: r.n_tokens for r in P.token_counts(d).collect()}
-    assert got == {r.doc_id: sum(len(model.encode(w)) for w in (r.text or "").split()) for r in d.collect()}
+    for path in (pieces.DEFAULT_MODEL, pieces.SECOND_MODEL):
+        encode = pieces.word_table(path).vocabulary.each
+        got = {r.doc_id: r.n_tokens for r in P.token_counts(d, path).collect()}
+        assert got == {r.doc_id: sum(map(len, encode((r.text or "").split()))) for r in d.collect()}
 
 
 def test_odd_rows(spark, odd, empty):
