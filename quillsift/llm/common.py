@@ -10,6 +10,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 U64 = np.uint64
 _ODD = U64(0x9E3779B97F4A7C15)
@@ -180,6 +182,39 @@ def matrix_of(col: pa.Array, kind: type) -> np.ndarray:
     return np.frombuffer(data, np.uint8)[offs[0] : offs[-1]].reshape(len(col), -1).view(kind)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        name = f"_qs_{name}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def id64(df: DataFrame, name: str = "doc_id") -> F.Column:
+    """The id column as a 64-bit integer; other than integers are refused by name instead of failing in a task."""
+    kind = df.schema[name].dataType
+    if not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise TypeError(f"{name} must be an integer column, not {kind.simpleString()}")
+    return F.col(name).cast("bigint").alias(name)
+
+
+def columns_of(df: DataFrame) -> list[F.Column]:
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
+def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """docs less the (doc_id, text_hash) of bad; null ids compare as equal."""
+    own, other, its = fresh(docs, "hash", "id", "bad")
+    d = docs.withColumn(own, F.xxhash64("text"))
+    b = bad.select(F.col("doc_id").alias(other), F.col("text_hash").alias(its))
+    return d.join(b, F.col("doc_id").eqNullSafe(F.col(other)) & (F.col(own) == F.col(its)), "left_anti").select(*columns_of(docs))
+
+
 def bounded(df: DataFrame, limit: int) -> pa.Table | None:
     """The rows where there are at most limit of them, else None: the check before anything is sent to every executor."""
     got = df.limit(limit + 1).toArrow()

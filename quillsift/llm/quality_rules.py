@@ -1,19 +1,24 @@
 """Quality rules from tokeniser fertility.
 
-A public vocabulary is run over every whole text. Per document: characters per
-token, the share of byte-fallback tokens and the token entropy, normalised by
-the entropy that as many distinct tokens would have. Rejection bands are
-Tukey fences over all documents of a language (of a script where the language
-is missing) and of a size class, as entropy depends on length; groups under
-``min_group`` documents use the fences of their own language over their size
-class and the two beside it. Where that is under ``min_group`` too, there is too
-little evidence: other languages never judge a document.
+Two public vocabularies are run over every whole text: SentencePiece with byte
+fallback, and a byte-level one for many languages. Per document and vocabulary:
+characters per token and the share of tokens that are no whole characters; under
+the first one also the token entropy, normalised by the entropy that as many
+distinct tokens would have. Rejection bands are Tukey fences over all documents
+of a language (of a script where the language is missing) and of a size class, as
+entropy depends on length; groups under ``min_group`` documents use the fences of
+their own language over their size class and the two beside it. Where that is
+under ``min_group`` too, there is too little evidence to say what is usual, so
+nothing is rejected: other languages never judge a document.
+
+Fences are one row per language and size class. They go to every task up to
+``send`` rows and are joined by a shuffle beyond.
 
 Defined results: null, empty and blank texts and texts under ``min_tokens``
 tokens have too little evidence and are kept, as are those of groups without
-fences; a null doc_id is carried along;
-repeated rows get equal results; an empty table gives an empty result; other
-columns are not looked at.
+fences; a null doc_id is carried along; repeated rows get equal results; an empty
+table gives an empty result; other columns are not looked at. doc_id is read as
+a 64-bit integer.
 """
 
 from __future__ import annotations
@@ -26,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.llm import pieces
-from quillsift.llm.common import cut, i64, rows_of
+from quillsift.llm.common import cut, i64, rows_of, without
 
-METRICS = "doc_id bigint, text_hash bigint, band string, n_tokens bigint, chars_per_token double, byte_share double, token_entropy double"
+METRICS = "doc_id bigint, text_hash bigint, band string, n_tokens bigint, chars_per_token double, byte_share double, token_entropy double, chars_per_token_2 double, byte_share_2 double"
 SCRIPTS = (("Latin", 0x41, 0x24F), ("Greek", 0x370, 0x3FF), ("Cyrillic", 0x400, 0x52F), ("Hebrew", 0x590, 0x5FF), ("Arabic", 0x600, 0x6FF), ("Devanagari", 0x900, 0x97F), ("Thai", 0xE00, 0xE7F), ("Hangul", 0xAC00, 0xD7AF), ("Kana", 0x3040, 0x30FF), ("Han", 0x4E00, 0x9FFF))
 
 
@@ -39,67 +44,63 @@ def script_of_text(text: str | None) -> str:
     return SCRIPTS[int(np.argmax(counts))][0] if max(counts) else "Other"
 
 
-def doc_metrics(ids: np.ndarray, offs: np.ndarray, is_byte: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Token count, characters per token, byte share and normalised entropy of each document."""
+def entropies(ids: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Token entropy of each document over that of as many distinct tokens; 1 under two tokens."""
     n = np.diff(offs)
-    rows = np.repeat(np.arange(len(n)), n)
-    bytes_ = np.bincount(rows, weights=is_byte[ids], minlength=len(n))
-    code = np.sort(rows.astype(np.int64) << 16 | ids)
+    code = np.sort(np.repeat(np.arange(len(n), dtype=np.int64) << 16, n) | ids)
     at = np.flatnonzero(np.diff(code, prepend=-1))
     counts = np.diff(np.append(at, len(code)))
-    owner = code[at] >> 16
-    clogc = np.bincount(owner, weights=counts * np.log2(counts), minlength=len(n))
+    clogc = np.bincount(code[at] >> 16, counts * np.log2(counts), len(n))
     safe = np.maximum(n, 1)
-    entropy = np.log2(safe) - clogc / safe
-    return n, np.where(n > 0, chars / safe, 0.0), np.where(n > 0, bytes_ / safe, 0.0), np.where(n > 1, entropy / np.log2(np.maximum(n, 2)), 1.0)
+    return np.where(n > 1, (np.log2(safe) - clogc / safe) / np.log2(np.maximum(n, 2)), 1.0)
 
 
-def measure(docs: DataFrame, model: str = pieces.DEFAULT_MODEL) -> DataFrame:
+def measure(docs: DataFrame, model: str = pieces.DEFAULT_MODEL, second: str = pieces.SECOND_MODEL) -> DataFrame:
     """One narrow row per document with its fertility metrics; a single pass, no shuffle."""
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    src = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.nullif(F.trim(lang), F.lit("")).alias("lang"))
+    src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"), F.nullif(F.trim(lang), F.lit("")).alias("lang"))
+    per = lambda x, n: pa.array(np.where(n > 0, x / np.maximum(n, 1), 0.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        is_byte = pieces.word_cache(model).is_byte
         for b in batches:
-            for lo, hi, _, _ in rows_of(b):
+            for lo, hi, data, offs in rows_of(b):
                 part = b.slice(lo, hi - lo)
-                texts = part.column(1).to_pylist()
-                ids, offs = pieces.encode_docs(texts, model)
-                chars = np.array([sum(map(len, t.split())) if t else 0 for t in texts], np.float64)
-                n, cpt, share, entropy = doc_metrics(ids, offs, is_byte, chars)
-                bands = [f"lang:{x}" if x is not None else "script:" + script_of_text(t) for x, t in zip(part.column(3).to_pylist(), texts)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(bands, pa.string()), i64(n.astype(np.int64)), pa.array(cpt), pa.array(share), pa.array(entropy)], names=["doc_id", "text_hash", "band", "n_tokens", "chars_per_token", "byte_share", "token_entropy"])
+                ids, at, chars, broken = pieces.encode_docs(data, offs, model)
+                n2, _, broken2 = pieces.measure_docs(data, offs, second)
+                n = np.diff(at)
+                bands = [f"lang:{x}" if x is not None else "script:" + script_of_text(part.column(1)[i].as_py()) for i, x in enumerate(part.column(3).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(bands, pa.string()), i64(n), per(chars, n), per(broken, n), pa.array(entropies(ids, at)), per(chars, n2), per(broken2, n2)], names=[x.split()[0] for x in METRICS.split(", ")])
 
     return src.mapInArrow(run, METRICS)
 
 
-def decide(metrics: DataFrame, min_tokens: int = 24, min_group: int = 100, width: float = 3.0) -> DataFrame:
+#: metric, least spread, reasons below and above the fences
+RULES = (
+    ("chars_per_token", 0.04, "fertility_low", "fertility_high"), ("byte_share", 0.01, None, "byte_fallback"), ("token_entropy", 0.01, "entropy_low", "entropy_high"),
+    ("chars_per_token_2", 0.04, "fertility_low_2", "fertility_high_2"), ("byte_share_2", 0.01, None, "byte_fallback_2"),
+)
+
+
+def decide(metrics: DataFrame, min_tokens: int = 24, min_group: int = 100, width: float = 3.0, send: int = 100_000) -> DataFrame:
     """metrics with size_class, keep and reason. Quantiles are exact, over values rounded to 1/2000."""
     step = lambda c: F.round(F.col(c) * 2000) / 2000
     m = metrics.withColumn("size_class", F.least(F.floor(F.log2(F.greatest("n_tokens", F.lit(1))) / 1.5), F.lit(12)).cast("int"))
     enough = m.where(F.col("n_tokens") >= min_tokens)
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.percentile(step(c), F.array(F.lit(0.25), F.lit(0.75))).alias(a) for c, a in (("chars_per_token", "qf"), ("byte_share", "qb"), ("token_entropy", "qe"))]
-    groups = enough.groupBy("band", "size_class").agg(*aggs)
-    own = groups.where(F.col("n") >= min_group).select("band", "size_class", F.struct("qf", "qb", "qe").alias("own"))
+    aggs = [F.count(F.lit(1)).alias("n"), *[F.percentile(step(c), F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{i}") for i, (c, *_) in enumerate(RULES)]]
+    groups = cut(enough.groupBy("band", "size_class").agg(*aggs))
+    small = groups.count() <= send
+    sent = lambda d: F.broadcast(d) if small else d
     few = groups.where(F.col("n") < min_group).select("band", "size_class")
-    around = enough.withColumn("size_class", F.explode(F.array(*[F.col("size_class") + i for i in (-1, 0, 1)]))).join(few, ["band", "size_class"], "left_semi")
-    pooled = around.groupBy("band", "size_class").agg(*aggs).where(F.col("n") >= min_group).select("band", "size_class", F.struct("qf", "qb", "qe").alias("pooled"))
-    j = m.join(own, ["band", "size_class"], "left").join(pooled, ["band", "size_class"], "left").withColumn("q", F.coalesce("own", "pooled"))
-
-    def fence(q: str, sign: int, least: float) -> F.Column:
-        lo, hi = F.col(f"q.{q}")[0], F.col(f"q.{q}")[1]
+    around = enough.withColumn("size_class", F.explode(F.array(*[F.col("size_class") + i for i in (-1, 0, 1)]))).join(sent(few), ["band", "size_class"], "left_semi")
+    fences = groups.where(F.col("n") >= min_group).unionByName(around.groupBy("band", "size_class").agg(*aggs).where(F.col("n") >= min_group))
+    j = m.join(sent(fences.drop("n")), ["band", "size_class"], "left")
+    reason = F.when(F.col("n_tokens") < min_tokens, None)
+    for i, (c, least, below, above) in enumerate(RULES):
+        lo, hi = F.col(f"q{i}")[0], F.col(f"q{i}")[1]
         wide = F.greatest(hi - lo, F.lit(least)) * width
-        return hi + wide if sign > 0 else lo - wide
-
-    reason = (
-        F.when(F.col("n_tokens") < min_tokens, None)
-        .when(F.col("chars_per_token") < fence("qf", -1, 0.04), "fertility_low")
-        .when(F.col("chars_per_token") > fence("qf", 1, 0.04), "fertility_high")
-        .when(F.col("byte_share") > fence("qb", 1, 0.01), "byte_fallback")
-        .when(F.col("token_entropy") < fence("qe", -1, 0.01), "entropy_low")
-        .when(F.col("token_entropy") > fence("qe", 1, 0.01), "entropy_high")
-    )
+        if below:
+            reason = reason.when(F.col(c) < lo - wide, below)
+        reason = reason.when(F.col(c) > hi + wide, above)
     return j.withColumn("reason", reason).withColumn("keep", F.col("reason").isNull()).select(*metrics.columns, "size_class", "keep", "reason")
 
 
@@ -113,9 +114,3 @@ def accepted(docs: DataFrame, model: str = pieces.DEFAULT_MODEL, **bands) -> Dat
     bad = decide(cut(measure(docs, model)), **bands).where(~F.col("keep")).select("doc_id", "text_hash").distinct()
     return without(docs, bad)
 
-
-def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
-    """docs less the (doc_id, text_hash) of bad; null ids compare as equal."""
-    d = docs.withColumn("_qs_hash", F.xxhash64("text"))
-    b = bad.select(F.col("doc_id").alias("_qs_id"), F.col("text_hash").alias("_qs_bad"))
-    return d.join(b, d["doc_id"].eqNullSafe(b["_qs_id"]) & (d["_qs_hash"] == b["_qs_bad"]), "left_anti").drop("_qs_hash")

@@ -9,23 +9,26 @@ from quillsift.llm import quality_rules as Q
 
 
 def brute(text):
-    model = pieces.word_cache(pieces.DEFAULT_MODEL).model
     words = (text or "").split()
-    ids = [i for w in words for i in model.encode(w)]
-    n = len(ids)
-    if not n:
-        return 0, 0.0, 0.0, 1.0
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(ids).values())
-    return n, sum(map(len, words)) / n, sum(model.is_byte(i) for i in ids) / n, entropy / math.log2(n) if n > 1 else 1.0
+    out = []
+    for path in (pieces.DEFAULT_MODEL, pieces.SECOND_MODEL):
+        v = pieces.word_table(path).vocabulary
+        ids = [i for w in words for i in v.each([w])[0]]
+        n = max(len(ids), 1)
+        entropy = -sum(c / n * math.log2(c / n) for c in Counter(ids).values())
+        out.append((len(ids), sum(map(len, words)) / n, sum(bool(v.is_byte[i]) for i in ids) / n, entropy / math.log2(n) if n > 1 else 1.0))
+    return out
 
 
 def test_metrics_against_brute_force(spark):
     texts = ["The quick brown fox jumps.", "", None, "   ", "日本語 ᚠᚢᚦ ☃☃☃", "aaa aaa aaa", "é " * 50, "x"]
     got = {r.doc_id: r for r in Q.measure(make(spark, list(enumerate(texts)))).collect()}
     for i, t in enumerate(texts):
-        n, cpt, share, entropy = brute(t)
+        (n, cpt, share, entropy), (_, cpt2, share2, _) = brute(t)
         r = got[i]
-        assert r.n_tokens == n and math.isclose(r.chars_per_token, cpt) and math.isclose(r.byte_share, share, abs_tol=1e-12) and math.isclose(r.token_entropy, entropy, abs_tol=1e-9)
+        assert r.n_tokens == n
+        for have, want in ((r.chars_per_token, cpt), (r.byte_share, share), (r.token_entropy, entropy), (r.chars_per_token_2, cpt2), (r.byte_share_2, share2)):
+            assert math.isclose(have, want, abs_tol=1e-9)
 
 
 def quantile(values, q):
@@ -46,16 +49,17 @@ def test_decisions_against_brute_force(spark):
         groups.setdefault(r.size_class, []).append(r)
     for members in groups.values():
         fences = {}
-        for f, least in (("chars_per_token", 0.04), ("byte_share", 0.01), ("token_entropy", 0.01)):
+        for f, least, *_ in Q.RULES:
             v = [step(getattr(r, f)) for r in members]
             a, b = quantile(v, 0.25), quantile(v, 0.75)
             wide = 3 * max(b - a, least)
             fences[f] = (a - wide, b + wide)
         for r in members:
-            ok = all(lo <= getattr(r, f) <= hi for f, (lo, hi) in fences.items() if f != "byte_share") and r.byte_share <= fences["byte_share"][1]
+            ok = all((f.startswith("byte_share") or lo <= getattr(r, f)) and getattr(r, f) <= hi for f, (lo, hi) in fences.items())
             assert r.keep == ok
     assert not any(got[i].keep for i in range(200, 205)) and not any(got[i].keep for i in range(300, 305))
     assert statistics.mean(got[i].keep for i in range(150)) > 0.97
+    assert {r.doc_id: r for r in Q.decide(Q.measure(docs), min_group=20, send=0).drop("text_hash").collect()} == got  # the shuffled way to the fences
     assert {r.doc_id for r in Q.accepted(docs, min_group=20).collect()} == {i for i, r in got.items() if r.keep}
 
 
