@@ -11,39 +11,46 @@ from quillsift.llm import quality_model as Q
 
 
 def brute_lm(rows, target):
-    model = pieces.word_cache(pieces.DEFAULT_MODEL).model
-    v = model.get_piece_size()
-    ids = {i: [x for w in (t or "").split() for x in model.encode(w)] for i, t in rows}
-    tables = []
-    for keep in (set(ids), set(target)):
-        bi = Counter(p for i in ids if i in keep for p in zip([L.START] + ids[i], ids[i]))
-        uni, head, kinds = Counter(), Counter(), Counter()
-        for (h, w), n in bi.items():
-            uni[w] += n
-            head[h] += n
-            kinds[h] += 1
-        tables.append((bi, uni, head, kinds, sum(uni.values())))
-
-    def logp(t, h, w):
-        bi, uni, head, kinds, total = t
-        u = (uni[w] + 0.5) / (total + 0.5 * v)
-        return math.log(max(bi[h, w] - L.DISCOUNT, 0) / head[h] + L.DISCOUNT * kinds[h] / head[h] * u if head[h] else u)
-
-    return {i: [-sum(logp(t, h, w) for h, w in zip([L.START] + x, x)) / len(x) for t in tables] if x else None for i, x in ids.items()}
+    """Each document under models that count all other documents of their side."""
+    v = pieces.word_table(pieces.DEFAULT_MODEL).vocabulary
+    ids = [[x for w in (t or "").split() for x in v.each([w])[0]] for _, t in rows]
+    inside = [i in target for i, _ in rows]
+    out = []
+    for me, x in enumerate(ids):
+        both = []
+        for side in (False, True):
+            others = [y for k, y in enumerate(ids) if inside[k] == side and k != me]
+            bi = Counter(p for y in others for p in zip([L.START] + y, y))
+            uni, head, kinds = Counter(), Counter(), Counter()
+            for (h, w), n in bi.items():
+                uni[w] += n
+                head[h] += n
+                kinds[h] += 1
+            total, loss = sum(uni.values()), 0.0
+            for h, w in zip([L.START] + x, x):
+                u = (uni[w] + 0.5) / (total + 0.5 * v.size)
+                loss -= math.log(max(bi[h, w] - L.DISCOUNT, 0) / head[h] + L.DISCOUNT * kinds[h] / head[h] * u if head[h] else u)
+            both.append(loss / len(x) if x else None)
+        out.append(both)
+    return out
 
 
 def test_losses_against_brute_force(spark):
     rng = random.Random(1)
     rows = [(i, prose(rng, rng.randrange(0, 30), 30 if i % 2 else 300)) for i in range(30)] + [(50, None), (51, ""), (52, " ")]
     target = spark.createDataFrame([(i,) for i in range(1, 30, 2)] + [(1,), (None,), (999,)], "doc_id bigint")
-    want = brute_lm(rows, range(1, 30, 2))
+    rows += [(3, rows[3][1]), (4, rows[4][1]), (60, rows[5][1]), (61, rows[6][1])]  # repeated rows, and copies on the other side
+    want = brute_lm(rows, set(range(1, 30, 2)))
+    key = lambda x: (x[0], x[1] or 0)
     for limit in (10**6, 1):  # a lookup in each task, and the shuffled join
-        for r in L.cross_entropy_difference(make(spark, rows), target, broadcast_limit=limit).collect():
-            if want[r.doc_id] is None:
-                assert r.n_tokens == 0 and r.score is None
+        got = L.cross_entropy_difference(make(spark, rows), target, broadcast_limit=limit).collect()
+        got = sorted(((r.doc_id, r.loss_background, r.loss_target, r.score) for r in got), key=key)
+        for r, (i, b, t) in zip(got, sorted(((i, *w) for (i, _), w in zip(rows, want)), key=key), strict=True):
+            assert r[0] == i
+            if b is None:
+                assert r[1:] == (None, None, None)
             else:
-                b, t = want[r.doc_id]
-                assert math.isclose(r.loss_background, b, rel_tol=1e-5) and math.isclose(r.loss_target, t, rel_tol=1e-5) and math.isclose(r.score, b - t, abs_tol=1e-4)
+                assert math.isclose(r[1], b, rel_tol=1e-9) and math.isclose(r[2], t, rel_tol=1e-9) and math.isclose(r[3], b - t, abs_tol=1e-9)
     joined = L.encoded(make(spark, rows), target, pieces.DEFAULT_MODEL, target_limit=1)
     sent = L.encoded(make(spark, rows), target, pieces.DEFAULT_MODEL)
     key = lambda r: (r.doc_id, r.in_target, bytes(r.ids))
