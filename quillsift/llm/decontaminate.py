@@ -3,22 +3,25 @@
 Texts and benchmark items become sets of word shingles. The shingles of an item
 are ordered by rarity, their document frequency in the corpus. For containment
 of ``theta`` an item of m shingles needs o = ceil(theta m) of them, so a text
-that has so many must have one of the m - o + 1 rarest, the prefix; only texts
-with a prefix shingle become candidates of the item. The length bound drops
-texts of fewer than o shingles; the positional bound drops candidates without o
-hits within a window's reach of a prefix hit. What is left is verified exactly:
-the largest number of distinct item shingles in any window as long as the item.
+that has so many must have one of the m - o + 1 rarest, the prefix. Only prefix
+shingles are joined with the texts; texts with one, of at least o shingles (the length
+bound), are candidates of the item. A candidate looks at the text's hits within
+a window's reach of its prefix hits; under o of them are of the item, it goes
+(the positional bound). What is left is verified exactly: the largest number of
+distinct item shingles in any window as long as the item.
 
 Words are runs of letters, digits and non-ASCII characters of the lower-cased
-text. Every shingle position of a text that occurs in the benchmark at all is
+text. The positions in a text of shingles that occur in the benchmark at all are
 found in one pass; where the benchmark has more than ``broadcast_limit``
-shingles, by a shuffled join instead of a lookup in each task.
+shingles, by a shuffled join instead of a lookup in each task. They serve for the
+rarity and for the verification of candidates; the hits of a text without a
+candidate meet no item.
 
 Defined results: null, empty and wordless texts and items match nothing; texts
-and items under ``n`` words have one shingle, of all their words; an item that
-occurs twice gives one row per item_id and text; rows that repeat a (doc_id,
+and items under ``n`` words have one shingle, of all their words; an item_id of
+two texts is two items, each with a row of its own; rows that repeat a (doc_id,
 text) count as one document; null ids are carried along; other columns are not
-looked at.
+looked at. Ids must be integers.
 """
 
 from __future__ import annotations
@@ -26,15 +29,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import WORDS, bounded, cut, i64, rows_of, shingles, word_hashes, word_spans
-from quillsift.llm.quality_rules import without
+from quillsift.llm.common import WORDS, bounded, cut, i64, id64, rows_of, shingles, without, word_hashes, word_spans
 
-KEY = ("doc_id", "text_hash", "item_id", "item_hash")
 HITS = "doc_id bigint, text_hash bigint, n_shingles bigint, pos bigint, h bigint"
 
 
@@ -59,33 +59,112 @@ def shingle_rows(docs: DataFrame, n: int, only: np.ndarray | None = None) -> Dat
                     take = pa.array(lo + owner)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(2).take(take), i64(count[owner].astype(np.int64)), i64(pos), i64(h)], names=["doc_id", "text_hash", "n_shingles", "pos", "h"])
 
-    # The position counts within a text only, so texts can be taken as they come.
-    src = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower("text").alias("text"), F.xxhash64("text").alias("text_hash"))
+    src = docs.where(F.col("text").isNotNull()).select(id64(docs), F.lower("text").alias("text"), F.xxhash64("text").alias("text_hash"))
     return src.mapInArrow(run, HITS)
 
 
-def _windows(key: tuple, hits: pd.DataFrame) -> pd.DataFrame:
-    """The first window with most distinct shingles, over windows as long as the item."""
-    hits = hits.sort_values("pos")
-    pos, h, m = hits["pos"].tolist(), hits["h"].tolist(), int(hits["span"].iloc[0])
-    seen: dict[int, int] = {}
-    best, at, lo = 0, 0, 0
-    for hi in range(len(pos)):
-        seen[h[hi]] = seen.get(h[hi], 0) + 1
-        while pos[hi] - pos[lo] >= m:
-            seen[h[lo]] -= 1
-            if not seen[h[lo]]:
-                del seen[h[lo]]
-            lo += 1
-        if len(seen) > best:
-            best, at = len(seen), pos[lo]
-    doc, text, item, _ = key
-    return pd.DataFrame({"doc_id": [doc], "text_hash": [text], "item_id": [item], "matched": [best], "m": [int(hits["m"].iloc[0])], "pos": [at]}).astype({"doc_id": "Int64", "item_id": "Int64"})
+def ranked(rows: DataFrame, hits: DataFrame, theta: float) -> DataFrame:
+    """The shingles of each item with m, need and rank, the rarest in the corpus first."""
+    rarity = hits.select("h", "doc_id", "text_hash").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    item = Window.partitionBy("item_id", "item_hash")
+    out = rows.join(rarity, "h", "left").withColumn("m", F.count(F.lit(1)).over(item)).withColumn("need", F.ceil(F.col("m") * F.lit(theta) - 1e-9).cast("bigint"))
+    return out.withColumn("rank", F.row_number().over(item.orderBy(F.coalesce("df", F.lit(0)), "h"))).drop("df")
+
+
+def prefix(of: DataFrame) -> DataFrame:
+    """The m - need + 1 rarest shingles of each item: a text with `need` of the item's shingles has one of them."""
+    return of.where("rank <= m - need + 1").select("h", "item_id", "item_hash", "need")
+
+
+def best_window(pos: np.ndarray, h: np.ndarray, span: int) -> tuple[int, int]:
+    """The most distinct shingles in a window of span positions that begins at a hit, and the first such hit."""
+    order = np.lexsort((pos, h))
+    before = np.full(len(pos), -1 - span, np.int64)  # where the same shingle was last
+    again = h[order][1:] == h[order][:-1]
+    before[order[1:][again]] = pos[order[:-1][again]]
+    # A hit counts for every window that holds it and no earlier hit of its shingle.
+    first = np.searchsorted(pos, np.maximum(before, pos - span), side="right")
+    change = np.bincount(first, minlength=len(pos) + 1) - np.bincount(np.arange(1, len(pos) + 1), minlength=len(pos) + 1)
+    count = np.cumsum(change[:-1])
+    at = int(np.argmax(count))
+    return int(count[at]), int(pos[at])
+
+
+def near_hits(pos: np.ndarray, marks: np.ndarray, span: int) -> np.ndarray:
+    """Which sorted positions lie in a window of span with one of the sorted marks."""
+    after = np.searchsorted(marks, pos)
+    down = np.where(after > 0, pos - marks[np.maximum(after - 1, 0)], span)
+    up = np.where(after < len(marks), marks[np.minimum(after, len(marks) - 1)] - pos, span)
+    return np.minimum(down, up) < span
+
+
+def verified(hits: DataFrame, found: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, item_id, matched, m, pos) of candidate pairs that hold `need` shingles in one window.
+
+    Hits and candidates of a text meet in one sorted partition; each pair looks at the hits near its prefix hits only.
+    """
+    a, b = found.alias("a"), items.alias("b")
+    c = a.join(b, F.col("a.item_id").eqNullSafe(F.col("b.item_id")) & (F.col("a.item_hash") == F.col("b.item_hash"))).select("a.*", "span", "need", "s")
+    none = lambda kind: F.lit(None).cast(kind)
+    left = hits.select("doc_id", "text_hash", F.lit(0).alias("kind"), "pos", "h", none("bigint").alias("item_id"), none("bigint").alias("span"), none("bigint").alias("need"), none("array<bigint>").alias("marks"), none("array<bigint>").alias("s"))
+    right = c.select("doc_id", "text_hash", F.lit(1).alias("kind"), none("bigint").alias("pos"), none("bigint").alias("h"), "item_id", "span", "need", "marks", "s")
+    rows = left.unionByName(right).repartition("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "kind", "pos", "item_id")
+
+    def settle(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        col = {n: t.column(n).combine_chunks() for n in t.column_names}
+        new = _new_text(col["doc_id"], col["text_hash"])
+        first = np.flatnonzero(new)
+        kind, pos, h = col["kind"].to_numpy(), col["pos"].fill_null(0).to_numpy(), col["h"].fill_null(0).to_numpy()
+        out = []
+        text = np.cumsum(new) - 1
+        ends = np.append(first[1:], len(new))
+        for i in np.flatnonzero(kind == 1).tolist():
+            lo, hi = int(first[text[i]]), int(ends[text[i]])
+            hi = lo + int(np.searchsorted(kind[lo:hi], 1))
+            span, need, marks, s = (col[n][i] for n in ("span", "need", "marks", "s"))
+            span, need, marks, s = span.as_py(), need.as_py(), np.sort(marks.values.to_numpy()), np.sort(s.values.to_numpy())
+            p, x = pos[lo:hi], h[lo:hi]
+            close = np.flatnonzero(near_hits(p, marks, span))
+            at = np.minimum(np.searchsorted(s, x[close]), len(s) - 1)
+            close = close[s[at] == x[close]]
+            if len(close) < need:  # the positional bound
+                continue
+            best, where = best_window(p[close], x[close], span)
+            if best >= need:
+                out.append((i, best, len(s), where))
+        take = pa.array([x[0] for x in out], pa.int64())
+        return pa.RecordBatch.from_arrays([*(col[n].take(take) for n in ("doc_id", "text_hash", "item_id")), *(pa.array([x[j] for x in out], pa.int64()) for j in (1, 2, 3))], names=["doc_id", "text_hash", "item_id", "matched", "m", "pos"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            if sum(x.num_rows for x in held) < 50_000:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            last = int(np.flatnonzero(_new_text(t.column("doc_id").combine_chunks(), t.column("text_hash").combine_chunks()))[-1])  # the last text may go on
+            if last:
+                yield settle(t.slice(0, last))
+            held = t.slice(last).combine_chunks().to_batches()
+        if held:
+            yield settle(pa.Table.from_batches(held))
+
+    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, item_id bigint, matched bigint, m bigint, pos bigint")
+
+
+def _new_text(doc: pa.Array, text: pa.Array) -> np.ndarray:
+    new = np.ones(len(doc), bool)
+    a, b, c = doc.is_null().to_numpy(zero_copy_only=False), doc.fill_null(0).to_numpy(), text.to_numpy()
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
+    return new
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, theta: float = 0.7, broadcast_limit: int = 2_000_000) -> DataFrame:
     """(doc_id, text_hash, item_id, matched, m, pos) of every document and item with containment of at least theta."""
-    items = benchmark.select(F.col("item_id").alias("doc_id"), "text")
+    items = benchmark.select(id64(benchmark, "item_id").alias("doc_id"), "text")
     rows = cut(shingle_rows(items, n).select(F.col("doc_id").alias("item_id"), F.col("text_hash").alias("item_hash"), F.col("n_shingles").alias("span"), "h").distinct())
     known = bounded(rows.select("h").distinct(), broadcast_limit)
     if known is not None:
@@ -93,26 +172,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, theta: float
     else:
         hits = shingle_rows(docs, n).join(rows.select("h").distinct(), "h", "left_semi")
     hits = cut(hits.distinct())
-    rarity = hits.select("h", "doc_id", "text_hash").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    item = _by("item_id", "item_hash")
-    need = F.ceil(F.col("m") * F.lit(theta) - 1e-9).cast("bigint")
-    ranked = rows.join(rarity, "h", "left").withColumn("m", F.count(F.lit(1)).over(item)).withColumn("need", need)
-    ranked = ranked.withColumn("rank", F.row_number().over(item.orderBy(F.coalesce("df", F.lit(0)), "h"))).drop("df")
-    # Length bound: a text needs at least o shingles. Buckets are as long as the item, so a window that
-    # holds a prefix hit lies in its bucket and the two beside it.
-    x = hits.join(ranked, "h").where("n_shingles >= need").withColumn("bucket", F.floor(F.col("pos") / F.col("span")))
-    beside = _by(*KEY).orderBy("bucket").rangeBetween(-1, 1)
-    # Positional bound: these three buckets must have o hits of the item.
-    sure = (F.col("rank") <= F.col("m") - F.col("need") + 1) & (F.count(F.lit(1)).over(beside) >= F.col("need"))
-    x = x.withColumn("sure", sure).where("n_shingles >= need").withColumn("near", F.max("sure").over(beside)).where("near")
-    out = x.select(*KEY, "span", "m", "pos", "h").groupBy(*KEY).applyInPandas(_windows, "doc_id bigint, text_hash bigint, item_id bigint, matched bigint, m bigint, pos bigint")
-    return out.where(F.col("matched") >= F.ceil(F.col("m") * F.lit(theta) - 1e-9))
-
-
-def _by(*cols: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*cols)
+    order = cut(ranked(rows, hits, theta))
+    # Only prefix shingles meet texts, and only texts that are long enough.
+    found = hits.join(prefix(order), "h").where("n_shingles >= need").groupBy("doc_id", "text_hash", "item_id", "item_hash").agg(F.collect_list("pos").alias("marks"))
+    sets = order.groupBy("item_id", "item_hash").agg(F.first("span").alias("span"), F.first("need").alias("need"), F.collect_list("h").alias("s"))
+    return verified(hits, found, sets)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

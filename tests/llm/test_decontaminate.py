@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from conftest_llm import make, prose
 from quillsift.llm import decontaminate as D
 
@@ -52,6 +54,32 @@ def test_against_brute_force(spark):
     assert kept == {d for d, _ in rows} - {d for d, _ in want}
 
 
+def test_only_prefix_shingles_meet_texts(spark):
+    rng = random.Random(4)
+    items = spark.createDataFrame([(i, prose(rng, 40, 200)) for i in range(10)], "doc_id bigint, text string")
+    rows = D.shingle_rows(items, 3).selectExpr("doc_id AS item_id", "text_hash AS item_hash", "n_shingles AS span", "h").distinct()
+    hits = D.shingle_rows(make(spark, [(i, prose(rng, 500, 200)) for i in range(40)]), 3)
+    order = D.ranked(rows, hits, 0.7)
+    for r in order.groupBy("item_id").agg({"m": "max", "need": "max"}).collect():
+        assert D.prefix(order).where(f"item_id = {r.item_id}").count() == r["max(m)"] - r["max(need)"] + 1
+    df = {r.h: r["count"] for r in hits.select("h", "doc_id").distinct().groupBy("h").count().collect()}
+    by = {}
+    for r in order.orderBy("item_id", "rank").collect():
+        by.setdefault(r.item_id, []).append(df.get(r.h, 0))
+    assert all(x == sorted(x) for x in by.values())
+
+
+def test_best_window_and_reach():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        pos = np.sort(rng.permutation(60)[: rng.integers(1, 30)])
+        h, span = rng.integers(0, 6, len(pos)), int(rng.integers(1, 20))
+        counts = [len({x for q, x in zip(pos, h) if p <= q < p + span}) for p in pos]
+        assert D.best_window(pos, h, span) == (max(counts), pos[counts.index(max(counts))])
+        marks = np.sort(rng.permutation(60)[:3])
+        assert D.near_hits(pos, marks, span).tolist() == [min(abs(p - m) for m in marks) < span for p in pos]
+
+
 def test_odd_rows(spark, odd, empty):
     bench = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "long long long long"), (2, None)], ITEMS)
     got = {(r.doc_id, r.item_id) for r in D.decontaminate(odd, bench).collect()}
