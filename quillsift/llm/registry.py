@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillsift.llm import chat_format, decontaminate, line_dedup, lm_score, near_dedup, packing, quality_model, quality_rules, secret_scan, warc
 
@@ -49,6 +50,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
 
+def line_store_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """German and French documents come first, the others next; then the French ones go."""
+    return line_dedup.after_deletion(table(spark, sf_dir, "documents"), F.col("lang").isin("de", "fr"), F.col("lang") == "fr")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -59,8 +65,8 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_near_dedup, op3_quality_model, op4_packing, op5_warc_normalise, warc_round_trip, op6_decontaminate, op7_line_dedup, op8_secret_scan, op9_quality_rules, op10_lm_score)}
+    return {f.__name__: f for f in (op1_chat_format, op2_near_dedup, op3_quality_model, op4_packing, op5_warc_normalise, warc_round_trip, op6_decontaminate, op7_line_dedup, line_store_delete, op8_secret_scan, op9_quality_rules, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"warc_round_trip": warc.ROUND_TRIP_ORACLE, "op1_chat_format": chat_format.ORACLE, "op6_decontaminate": decontaminate.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
+    return {"warc_round_trip": warc.ROUND_TRIP_ORACLE, "op1_chat_format": chat_format.ORACLE, "op6_decontaminate": decontaminate.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "line_store_delete": line_dedup.DELETION_ORACLE}
