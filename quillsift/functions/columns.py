@@ -77,23 +77,28 @@ def _compatibility() -> tuple[tuple[str, str], ...]:
 
 
 def fold_compatibility(text: Column) -> Column:
-    """NFKC forms of ASCII: a translation, and a lookup by character only where a longer form occurs."""
+    """NFKC forms of ASCII: a translation; longer forms are replaced one by one, those that occur only."""
     longer = {k: v for k, v in _compatibility() if len(v) > 1}
     table = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
-    chars = F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c))
-    has_longer = text.rlike(T.regex_class(T.runs_of([ord(k) for k in longer])))
-    return _translate(F.when(has_longer, F.array_join(chars, "")).otherwise(text), dict(_compatibility()))
+    some = T.regex_class(T.runs_of([ord(k) for k in longer]))
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"({some})"), F.lit(1)))
+    widened = F.aggregate(found, text, lambda acc, c: F.replace(acc, c, F.element_at(table, c)))
+    return _translate(F.when(text.rlike(some), widened).otherwise(text), dict(_compatibility()))
 
 
 def detect_format(content: Column, path: Column | None = None) -> Column:
-    """Container format by leading bytes; UTF-16 is left to the reader."""
+    """Container format by leading bytes; UTF-16 with a byte order mark is read as its ASCII characters for that."""
     head = F.substring(content, 1, 4096)
-    lead = F.regexp_replace(F.hex(head), "^(?:09|0A|0B|0C|0D|20)+", "")
+    marked = F.hex(head)
+    wide = marked.rlike("^(FFFE|FEFF)")
+    # A UTF-16 head loses its zero bytes and its mark; in UTF-8 a zero byte never stands in markup.
+    plain = F.when(wide, F.regexp_replace(F.substring(marked, 5, 1 << 14), "00", "")).otherwise(F.regexp_replace(marked, "^EFBBBF", ""))
+    lead = F.regexp_replace(plain, "^(?:09|0A|0B|0C|0D|20)+", "")
     out = F.when(F.startswith(F.hex(F.substring(content, 1, 8)), F.lit(_HEX["png"].upper())), "png")
     for fmt in ("jpeg", "pdf", "office"):
         out = out.when(F.startswith(F.hex(F.substring(content, 1, 4)), F.lit(_HEX[fmt].upper())), fmt)
     xml = F.startswith(lead, F.lit(b"<?xml".hex().upper())) | F.startswith(lead, F.lit(b"<svg".hex().upper()))
-    out = out.when(xml & F.hex(head).contains(b"<svg".hex().upper()), "svg")
+    out = out.when(xml & plain.contains(b"<svg".hex().upper()), "svg")
     return out.when(F.lower(path).rlike(r"[^/]\.svg$"), "svg") if path is not None else out
 
 
@@ -137,6 +142,14 @@ def lifted(metadata: Column, kind: Column) -> dict[str, Column]:
     }
 
 
+def notices(kind: Column, metadata: Column, parse_status: Column) -> Column:
+    """What an inspection leaves open, as claims."""
+    text = F.when(kind.isin("text", "svg"), "statistical text watermark")
+    credential = F.when(~kind.isin("text", "office"), "C2PA credential and hard-binding validity")
+    whole = F.when((kind != "text") & (parse_status != "complete"), "container parsing completeness")
+    return F.array_compact(F.array(text, credential, whole))
+
+
 def is_clean(parse_status: Column, total: Column, metadata: Column, warnings: Column, refusals: Column) -> Column:
     return (parse_status == "complete") & (total == 0) & (F.size(substantive(metadata)) == 0) & (F.size(warnings) == 0) & (F.size(refusals) == 0)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
-from functools import cache
+from functools import cache, lru_cache
 from itertools import islice
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -123,33 +123,36 @@ class Lines:
 
 
 _SHOWN = {"\n": "\\n", "\r": "\\r", "\t": "\\t"}
+_ENDS = re.compile("[\n\r\t]")
 
 
-def context_of(text: str, at: int, keep: frozenset[int], width: int = 24) -> str:
-    lo, hi = max(0, at - width), min(len(text), at + width + 1)
+def masked(text: str, keep: frozenset[int]) -> str:
+    """The text with a dot for every invisible character that is not load-bearing; offsets stay."""
+    return _patterns()[0].sub(lambda m: m.group() if m.start() in keep else "\u00b7", text)
 
-    def shown(i: int) -> str:
-        ch = text[i]
-        if i == at:
-            return f"[U+{ord(ch):04X}]"
-        if ch in _SHOWN:
-            return _SHOWN[ch]
-        return "\u00b7" if T.is_invisible(ord(ch)) and i not in keep else ch
 
-    return "\u2026" * (lo > 0) + "".join(map(shown, range(lo, hi))) + "\u2026" * (hi < len(text))
+def context_of(shown: str, ch: str, at: int, width: int = 24) -> str:
+    """The neighbourhood of a character in a masked text."""
+    lo, hi = max(0, at - width), min(len(shown), at + width + 1)
+    before, after = (_ENDS.sub(lambda m: _SHOWN[m.group()], x) for x in (shown[lo:at], shown[at + 1 : hi]))
+    return f"{'\u2026' * (lo > 0)}{before}[U+{ord(ch):04X}]{after}{'\u2026' * (hi < len(shown))}"
 
 
 def findings(text: str, width: int = 24, keep: frozenset[int] | None = None) -> Iterator[Finding]:
     """Every flagged character that is not load-bearing, in order."""
     keep = load_bearing(text) if keep is None else keep
-    lines = None
+    lines = shown = None
     for m in _CANDIDATE.finditer(text):
         at = m.start()
-        info = T.classify(ord(text[at]))
+        info = classified(ord(text[at]))
         if info is None or (info.severity == "invisible" and at in keep):
             continue
         lines = lines or Lines(text)
-        yield Finding(*info, at, *lines(at), context_of(text, at, keep, width))
+        shown = masked(text, keep) if shown is None else shown
+        yield Finding(*info, at, *lines(at), context_of(shown, text[at], at, width))
+
+
+classified = lru_cache(65_536)(T.classify)
 
 
 @cache
@@ -157,6 +160,20 @@ def _word() -> re.Pattern:
     return re.compile(T.python_class(T.word_ranges()) + "{2,}")
 
 
+@lru_cache(65_536)
+def _mix_of(word: str) -> tuple[tuple[str, ...], tuple[int, ...]] | None:
+    """Scripts of a word that mixes them, and where it leaves its majority script."""
+    scripts = {ch: T.script_of(ord(ch)) for ch in set(word)}
+    kinds = set(scripts.values()) - {"Common"}
+    if len(kinds) < 2 or any(kinds <= mix for mix in T.ALLOWED_MIXES):
+        return None
+    counts = Counter(s for s in map(scripts.__getitem__, word) if s != "Common")
+    most = max(counts.values())
+    leading = [s for s, n in counts.items() if n == most]  # in order of appearance
+    base = "Latin" if "Latin" in leading else leading[0]
+    return tuple(sorted(kinds)), tuple(i for i, ch in enumerate(word) if scripts[ch] not in ("Common", base))
+
+
 def suspicious_runs(text: str, least: int = 2, limit: int | None = None) -> list[Run]:
     """Words that mix scripts, with the characters that don't fit the word's majority script."""
     out: list[Run] = []
@@ -164,16 +181,10 @@ def suspicious_runs(text: str, least: int = 2, limit: int | None = None) -> list
         return out
     for m in _word().finditer(text):
         word = m.group()
-        if len(word) < least or word.isascii():
-            continue
-        counts = Counter(s for s in map(T.script_of, map(ord, word)) if s != "Common")
-        if len(counts) < 2 or any(counts.keys() <= mix for mix in T.ALLOWED_MIXES):
+        if len(word) < least or word.isascii() or (mix := _mix_of(word) if len(word) < 256 else _mix_of.__wrapped__(word)) is None:
             continue
-        most = max(counts.values())
-        leading = [s for s, n in counts.items() if n == most]  # in order of appearance
-        base = "Latin" if "Latin" in leading else leading[0]
-        odd = tuple(m.start() + i for i, ch in enumerate(word) if T.script_of(ord(ch)) not in ("Common", base))
-        out.append(Run(word, odd[0], tuple(sorted(counts)), m.start(), m.end(), odd))
+        odd = tuple(m.start() + i for i in mix[1])
+        out.append(Run(word, odd[0], mix[0], m.start(), m.end(), odd))
         if limit is not None and len(out) >= limit:
             break
     return out
@@ -183,9 +194,17 @@ def mixed_script_findings(text: str, width: int = 24, keep: frozenset[int] | Non
     runs = suspicious_runs(text, limit=limit)
     if runs:
         keep = load_bearing(text) if keep is None else keep
-        lines = Lines(text)
+        lines, shown = Lines(text), masked(text, keep)
         for r in runs:
-            yield Finding(ord(text[r.offset]), "mixed_script", "confusable", r.description, r.offset, *lines(r.offset), context_of(text, r.offset, keep, width))
+            yield Finding(ord(text[r.offset]), "mixed_script", "confusable", r.description, r.offset, *lines(r.offset), context_of(shown, text[r.offset], r.offset, width))
+
+
+def all_findings(text: str, width: int = 24) -> list[Finding]:
+    """Characters and mixed words without any limit, in order."""
+    if text.isascii() and not _CANDIDATE.search(text):
+        return []
+    keep = load_bearing(text)
+    return sorted([*findings(text, width, keep), *mixed_script_findings(text, width, keep)], key=lambda f: (f.offset, f.category))
 
 
 class Inspection(NamedTuple):

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,28 @@ class _Lazy:
         return self.udf()(*cols)
 
 
+_FINDING = pa.struct([("codepoint", pa.int32()), ("category", pa.string()), ("severity", pa.string()), ("name", pa.string()), ("offset", pa.int32()), ("line", pa.int32()), ("column", pa.int32()), ("context", pa.string())])
+
+
+def _finding_lists(rows: list[list[K.Finding] | None]) -> pa.Array:
+    """Lists of findings column by column, without an object for each."""
+    offs = [0]
+    for r in rows:
+        offs.append(offs[-1] + len(r or ()))
+    flat = list(zip(*(f for r in rows for f in r or ()))) or [[]] * _FINDING.num_fields
+    values = pa.StructArray.from_arrays([pa.array(x, _FINDING[i].type) for i, x in enumerate(flat)], fields=list(_FINDING))
+    return pa.ListArray.from_arrays(pa.array(offs, pa.int32()), values, mask=pa.array([r is None for r in rows]))
+
+
+class _Native(_Lazy):
+    """The same over Arrow arrays."""
+
+    def udf(self):
+        if self.made is None:
+            self.made = F.arrow_udf(self.fn, self.schema)
+        return self.made
+
+
 def _arrow(schema: str) -> Callable[[Callable], _Lazy]:
     return lambda fn: _Lazy(fn, schema)
 
@@ -54,10 +77,12 @@ def _each(s: pd.Series, fn: Callable) -> pd.Series:
     return pd.Series([None if x is None else fn(x) for x in s], dtype=object)
 
 
-@_arrow(INSPECTED)
-def _inspect(text: pd.Series, width: pd.Series) -> pd.DataFrame:
-    rows = [K.Inspection([], None, []) if t is None else K.inspect(t, int(w)) for t, w in zip(text, width)]
-    return pd.DataFrame({"findings": [_structs(r.findings) for r in rows], "parse_status": [r.parse_status for r in rows], "warnings": [r.warnings for r in rows]})
+def _inspect_arrow(text: pa.Array, width: pa.Array) -> pa.Array:
+    rows = [K.Inspection([], None, []) if t is None else K.inspect(t, w) for t, w in zip(text.to_pylist(), width.to_pylist())]
+    return pa.StructArray.from_arrays([_finding_lists([r.findings for r in rows]), pa.array([r.parse_status for r in rows], pa.string()), pa.array([r.warnings for r in rows], pa.list_(pa.string()))], names=["findings", "parse_status", "warnings"])
+
+
+_inspect = _Native(_inspect_arrow, INSPECTED)
 
 
 @_arrow(CLEANED)
@@ -65,9 +90,8 @@ def _clean(text: pd.Series, profile: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([(None,) * 6 if t is None else K.clean(t, p) for t, p in zip(text, profile)], columns=list(K.Cleaned._fields)).astype({"removed": "Int32", "folded": "Int32", "normalized": "Int32", "changed": "boolean"})
 
 
-@_arrow(f"array<{FINDING}>")
-def codepoint_findings(text: pd.Series) -> pd.Series:
-    return _each(text, lambda t: _structs(K.findings(t)))
+codepoint_findings = _Native(lambda text: _finding_lists([None if t is None else list(K.findings(t)) for t in text.to_pylist()]), f"array<{FINDING}>")
+all_findings = _Native(lambda text, width: _finding_lists([None if t is None else K.all_findings(t, w) for t, w in zip(text.to_pylist(), width.to_pylist())]), f"array<{FINDING}>")
 
 
 @_arrow(f"array<{RUN}>")

@@ -24,11 +24,24 @@ def codepoint_ranges(spark) -> DataFrame:
     return spark.createDataFrame(list(T.category_ranges()), "lo int, hi int, category string")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it has fewer splits, as one large row group is one task; many splits stay as they are."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def findings(docs: DataFrame, text: str = "text", width: int = 24) -> DataFrame:
-    """One row per finding, beside all columns but the text. Texts without candidates are filtered out in the JVM."""
-    keys = [c for c in docs.columns if c != text]
-    hot = docs.where(C.is_candidate(F.col(text)) | (F.length(text) > T.MAX_TEXT))
-    return hot.select(*keys, U._inspect(F.col(text), F.lit(width)).alias("_r")).select(*keys, F.explode("_r.findings").alias("_f")).select(*keys, "_f.*")
+    """One row per finding, beside all columns but the text; every finding of every text, of any length.
+
+    Texts without candidates are filtered out in the JVM. explode_outer, as for explode Spark
+    infers a filter on the function's result and evaluates it twice.
+    """
+    keys = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    hot = spread(docs.where(C.is_candidate(F.col(text))))
+    f = hot.select(*keys, F.explode_outer(U.all_findings(F.col(text), F.lit(width))).alias("_f"))
+    return f.where("_f IS NOT NULL").select(*keys, "_f.*")
 
 
 def code_points(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -46,7 +59,7 @@ def categorised(points: DataFrame) -> DataFrame:
 
 def reports(docs: DataFrame, text: str = "text", kind: str = "text") -> DataFrame:
     """One report per document: findings, counts, status, warnings and what was not evaluated."""
-    r = docs.withColumn("_r", U.inspected(F.col(text)))
+    r = spread(docs).withColumn("_r", U.inspected(F.col(text)))
     f = F.col("_r.findings")
     count = lambda key: lambda v: F.struct(v.alias(key), F.size(F.filter(f, lambda x: x[key] == v)).cast("bigint").alias("n"))
     cats = F.transform(F.array_distinct(F.transform(f, lambda x: x["category"])), count("category"))
@@ -85,7 +98,7 @@ def report_json(docs: DataFrame, source: str, text: str = "text") -> DataFrame:
 def clean(docs: DataFrame, profile: F.Column | str = "prose", text: str = "text") -> DataFrame:
     """docs with text cleaned, and removed, folded, normalized, transformed and changed beside it."""
     p = F.lit(profile) if isinstance(profile, str) else profile
-    r = docs.withColumn("_r", U.cleaned(F.col(text), p))
+    r = spread(docs).withColumn("_r", U.cleaned(F.col(text), p))
     counts = [F.col(f"_r.{c}").cast("bigint").alias(c) for c in ("removed", "folded", "normalized")]
     total = sum((F.col(f"_r.{c}").cast("bigint") for c in ("folded", "normalized")), F.col("_r.removed").cast("bigint"))
     return r.select(*[c for c in docs.columns if c != text], F.col("_r.cleaned").alias(text), *counts, total.alias("transformed"), F.col("_r.changed").alias("changed"), F.col("_r.parse_status").alias("parse_status"))

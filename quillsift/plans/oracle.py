@@ -96,3 +96,37 @@ def fold_sql(text: str, profile: str) -> str:
 def folded_sql(text: str, profile: str) -> str:
     table = T.SPACES if profile == "prose" else T.TYPOGRAPHY
     return f"CAST(len(regexp_extract_all({text}, '{T.regex_class(T.runs_of([ord(c) for c in table]))}')) AS BIGINT)"
+
+
+# --- regions --------------------------------------------------------------------------------
+# The driver's texts quote no code, so every region is an address. One begins inside a run of characters
+# without white space, quotes and angle brackets, and ends with that run but for the punctuation there.
+
+_W = r"\p{L}\p{N}_"
+_STOP = r"\x{00}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}<>\"`"
+_HOST = rf"(?:[{_W}](?:[{_W}-]{{0,61}}[{_W}])?\.)+[{_W}]{{2,63}}"
+_BEGIN = rf"(?:(?:https?|ftp)://|mailto:|www\.|[{_W}.!#$%&''*+/=?^{{}}|~-]+@{_HOST}|{_HOST}(?:[:/?#]|[^{_W}-]|$))"
+_HEAD = rf"(?is)^(|.*?[^{_W}@]){_BEGIN}"
+
+
+def _without_closer(of: str) -> str:
+    """One closing bracket less at the end where it has no opening one."""
+    more = " OR ".join(f"(right({of}, 1) = '{c}' AND len({of}) - len(replace({of}, '{c}', '')) > len({of}) - len(replace({of}, '{o}', '')))" for o, c in ("()", "[]", "{}"))
+    return f"CASE WHEN {more} THEN left({of}, len({of}) - 1) ELSE {of} END"
+
+
+def regions(src: str, key: str = "doc_id") -> str:
+    """Common table expressions up to `piece`: (key, k, place, t, head, link) of every run; link is null where there is none."""
+    return rf""", run AS (SELECT {key}, unnest(x) AS t, generate_subscripts(x, 1) AS k FROM (SELECT {key}, regexp_extract_all(text, '[^{_STOP}]+|[{_STOP}]+') AS x FROM {src})),
+run1 AS (SELECT *, CASE WHEN regexp_matches(t, '[.:@][^.:@]') AND regexp_matches(t, '{_HEAD}') THEN regexp_extract(t, '{_HEAD}', 1) END AS head FROM run),
+run2 AS (SELECT *, regexp_replace(substr(t, len(head) + 1), '[.,;:!?]+$', '') AS l0 FROM run1),
+run3 AS (SELECT *, {_without_closer("l0")} AS l1 FROM run2), run4 AS (SELECT *, {_without_closer("l1")} AS l2 FROM run3),
+piece AS (SELECT {key}, k, t, head, {_without_closer("l2")} AS link, sum(len(t)) OVER (PARTITION BY {key} ORDER BY k) - len(t) AS place FROM run4)"""
+
+
+def folded_outside(src: str, profile: str, key: str = "doc_id") -> str:
+    """`folded_text`: (key, text, folded) of src with everything but its regions folded."""
+    rest = "substr(t, len(head) + len(link) + 1)"
+    text = f"CASE WHEN link IS NULL THEN {fold_sql('t', profile)} ELSE {fold_sql('head', profile)} || link || {fold_sql(rest, profile)} END"
+    n = f"CASE WHEN link IS NULL THEN {folded_sql('t', profile)} ELSE {folded_sql('head', profile)} + {folded_sql(rest, profile)} END"
+    return regions(src, key) + f", outside AS (SELECT {key}, string_agg({text}, '' ORDER BY k) AS text, CAST(sum({n}) AS BIGINT) AS folded FROM piece GROUP BY {key}), folded_text AS (SELECT s.{key}, coalesce(o.text, '') AS text, coalesce(o.folded, 0) AS folded FROM {src} s LEFT JOIN outside o USING ({key}))"

@@ -13,7 +13,7 @@ from quillsift.functions import taxonomy as T
 from quillsift.functions import udfs as U
 from quillsift.operators import audit, inspection
 from quillsift.plans import oracle as O
-from quillsift.plans import samples
+from quillsift.plans import pins, samples
 from quillsift.plans.dirty import dirty
 from quillsift.sources import files
 
@@ -106,7 +106,9 @@ def compatibility_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def load_bearing_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L1-L9."""
     d = _docs(spark, sf_dir).where(C.is_candidate(F.col("text")))
-    return d.select("doc_id", U.load_bearing("text").alias("offsets")).where(F.size("offsets") > 0)
+    # A filter on a function's result runs the function twice unless it counts as non-deterministic.
+    once = U.load_bearing.udf().asNondeterministic()
+    return inspection.spread(d).select("doc_id", once("text").alias("offsets")).where(F.size("offsets") > 0)
 
 
 @query(lambda: f"SELECT doc_id FROM (SELECT doc_id, {dirty()} AS text FROM documents) WHERE regexp_matches(text, '[^\\t\\n\\r\\x20-\\x7e]')")
@@ -134,8 +136,8 @@ def findings_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(lambda: O.characters() + O.WORDS + "SELECT doc_id, text AS word, CAST(span_start AS BIGINT) AS span_start, CAST(span_end AS BIGINT) AS span_end, scripts, list_transform(suspicious_offsets, lambda x: CAST(x AS INTEGER)) AS suspicious_offsets FROM runs")
 def mixed_script_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M1, M2, I3."""
-    d = _docs(spark, sf_dir).where(C.is_candidate(F.col("text")))
-    r = d.select("doc_id", F.explode(U.suspicious_runs("text")).alias("r"))
+    d = inspection.spread(_docs(spark, sf_dir).where(C.is_candidate(F.col("text"))))
+    r = d.select("doc_id", F.explode_outer(U.suspicious_runs("text")).alias("r")).where("r IS NOT NULL")
     return r.select("doc_id", F.col("r.text").alias("word"), F.col("r.span_start").cast("bigint").alias("span_start"), F.col("r.span_end").cast("bigint").alias("span_end"), "r.scripts", "r.suspicious_offsets")
 
 
@@ -165,7 +167,7 @@ def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(lambda: O.characters() + ", n AS (SELECT doc_id, count(*) AS n FROM found GROUP BY 1) SELECT l.quality, l.toxic, count(*) AS docs, CAST(sum(coalesce(n.n, 0)) AS BIGINT) AS findings FROM labels l JOIN documents d USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY 1, 2")
 def hygiene_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings joined to labels, on narrow rows: texts are reduced to counts before the join."""
-    d = _docs(spark, sf_dir)
+    d = inspection.spread(_docs(spark, sf_dir))
     n = F.when(C.is_candidate(F.col("text")), F.size(U.codepoint_findings(F.when(C.is_candidate(F.col("text")), F.col("text"))))).otherwise(0)
     counts = d.select("doc_id", n.cast("bigint").alias("n"))
     j = _table(spark, sf_dir, "labels").join(counts, "doc_id")
@@ -175,7 +177,7 @@ def hygiene_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(lambda: O.characters() + "SELECT d.lang, f.category, count(*) AS n FROM found f JOIN documents d USING (doc_id) GROUP BY CUBE (d.lang, f.category)")
 def findings_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _docs(spark, sf_dir, "lang").where(C.is_candidate(F.col("text")))
-    f = d.select("lang", F.explode(U.codepoint_findings("text")).alias("f")).select("lang", "f.category")
+    f = inspection.spread(d).select("lang", F.explode_outer(U.codepoint_findings("text")).alias("f")).where("f IS NOT NULL").select("lang", "f.category")
     return f.cube("lang", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -187,7 +189,7 @@ def strip_invisible(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kernel for texts with candidates, nothing for the rest."""
     t = F.col("text")
     hot = C.is_candidate(t)
-    r = _docs(spark, sf_dir).withColumn("r", U.strip_invisible(F.when(hot, t)))
+    r = inspection.spread(_docs(spark, sf_dir)).withColumn("r", U.strip_invisible(F.when(hot, t)))
     return r.select("doc_id", F.when(hot, F.col("r.text")).otherwise(t).alias("text"), F.when(hot, F.col("r.removed")).otherwise(0).cast("bigint").alias("removed"))
 
 
@@ -200,25 +202,25 @@ def _fold_query(profile: str) -> tuple[Query, Callable[[], str]]:
     return run, lambda: f"WITH src AS (SELECT doc_id, {dirty()} AS text FROM documents) SELECT doc_id, {O.fold_sql('text', profile)} AS text, {O.folded_sql('text', profile)} AS folded FROM src"
 
 
-#: Characters that could open a region become spaces, so that folding is the same everywhere.
-PLAIN = f"translate({dirty()}, '.@:~`', '     ')"
+def _cleaned_sql(profile: str) -> str:
+    """Up to `z`: what cleaning makes of every text, with its addresses left alone."""
+    given = dirty()
+    ends = "text"
+    norm = "0"
+    if profile == "data":
+        given, ends = f"CASE WHEN starts_with({dirty()}, chr(65279)) THEN substr({dirty()}, 2) ELSE {dirty()} END", "replace(text, chr(13) || chr(10), chr(10))"
+        norm = f"(len(s.text) - len(replace(s.text, chr(13) || chr(10), chr(10)))) + CASE WHEN starts_with(o.t, chr(65279)) THEN 1 ELSE 0 END"
+    return O.characters(text=given) + (
+        f", o AS (SELECT doc_id, {dirty()} AS t FROM documents), e AS (SELECT doc_id, {ends} AS text FROM stripped)" + O.folded_outside("e", profile)
+        + f", z AS (SELECT s.doc_id, o.t, f.text, s.removed, f.folded, CAST({norm} AS BIGINT) AS normalized FROM stripped s JOIN o USING (doc_id) JOIN folded_text f USING (doc_id)) "
+    )
 
 
 def _clean_query(profile: str) -> tuple[Query, Callable[[], str]]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        d = _table(spark, sf_dir, "documents").select("doc_id", F.expr(PLAIN).alias("text"))
-        return inspection.clean(d, profile).drop("parse_status")
-
-    def sql() -> str:
-        given = f"CASE WHEN starts_with({PLAIN}, '﻿') THEN substr({PLAIN}, 2) ELSE {PLAIN} END" if profile == "data" else PLAIN
-        ends = "replace(text, chr(13) || chr(10), chr(10))" if profile == "data" else "text"
-        norm = f"(len(text) - len({ends})) + CASE WHEN starts_with(o.t, '﻿') THEN 1 ELSE 0 END" if profile == "data" else "0"
-        return O.characters(text=given) + (
-            f", o AS (SELECT doc_id, {PLAIN} AS t FROM documents), z AS (SELECT s.doc_id, o.t, {O.fold_sql(ends, profile)} AS text, s.removed, {O.folded_sql('s.text', profile)} AS folded, CAST({norm} AS BIGINT) AS normalized FROM stripped s JOIN o USING (doc_id))"
-            " SELECT doc_id, text, removed, folded, normalized, removed + folded + normalized AS transformed, text <> t AS changed FROM z"
-        )
+        return inspection.clean(_docs(spark, sf_dir), profile).drop("parse_status")
 
-    return run, sql
+    return run, lambda: _cleaned_sql(profile) + "SELECT doc_id, text, removed, folded, normalized, removed + folded + normalized AS transformed, text <> t AS changed FROM z"
 
 
 for _profile in ("prose", "code"):
@@ -228,25 +230,25 @@ for _profile in ("prose", "code"):
 _QUERIES["clean_data"], _ORACLES["clean_data"] = _clean_query("data")
 
 
-@query(lambda: O.characters(text=PLAIN) + f"SELECT CAST(max(CASE WHEN {O.fold_sql('text', 'prose')} <> given THEN 1 ELSE 0 END) AS BIGINT) AS exit_code, count(*) FILTER (WHERE {O.fold_sql('text', 'prose')} <> given) AS changed FROM stripped")
+@query(lambda: _cleaned_sql("prose") + "SELECT CAST(max(CASE WHEN text <> t THEN 1 ELSE 0 END) AS BIGINT) AS exit_code, count(*) FILTER (WHERE text <> t) AS changed FROM z")
 def clean_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether cleaning would change anything."""
-    d = _table(spark, sf_dir, "documents").select("doc_id", F.expr(PLAIN).alias("text"))
-    return inspection.clean(d).agg(F.max(F.col("changed").cast("bigint")).alias("exit_code"), F.count_if("changed").alias("changed"))
+    return inspection.clean(_docs(spark, sf_dir)).agg(F.max(F.col("changed").cast("bigint")).alias("exit_code"), F.count_if("changed").alias("changed"))
 
 
-@query()
+@query(lambda: " UNION ALL ".join(f"SELECT * FROM ({_cleaned_sql(p)}SELECT z.doc_id, d.lang, z.text, z.removed, z.folded, z.normalized, z.removed + z.folded + z.normalized AS transformed, z.text <> z.t AS changed, 'complete' AS parse_status FROM z JOIN documents d USING (doc_id) WHERE {w})" for p, w in (("prose", "d.lang = 'en'"), ("code", "d.lang = 'de'"), ("data", "d.lang NOT IN ('en', 'de') OR d.lang IS NULL"))))
 def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X4-X10 on texts with addresses and quoted code; the profile goes by language."""
+    """X4-X10 on texts with addresses; the profile goes by language."""
     profile = F.when(F.col("lang") == "en", "prose").when(F.col("lang") == "de", "code").otherwise("data")
     return inspection.clean(_docs(spark, sf_dir, "lang"), profile)
 
 
-@query()
+@query(lambda: f"WITH src AS (SELECT doc_id, {dirty()} AS text FROM documents)" + O.regions("src") + " SELECT doc_id, CAST(place + len(head) AS BIGINT) AS start, CAST(place + len(head) + len(link) AS BIGINT) AS \"end\", 'literal' AS mode FROM piece WHERE link IS NOT NULL AND link <> ''")
 def protected_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X4-X7."""
-    d = _docs(spark, sf_dir).where(~C.has_no_regions(F.col("text")))
-    return d.select("doc_id", F.explode(U.protected_regions("text")).alias("r")).select("doc_id", "r.*")
+    d = inspection.spread(_docs(spark, sf_dir).where(~C.has_no_regions(F.col("text"))))
+    r = d.select("doc_id", F.explode_outer(U.protected_regions("text")).alias("r")).where("r IS NOT NULL")
+    return r.select("doc_id", _long("r.start").alias("start"), _long("r.end").alias("end"), "r.mode")
 
 
 @query(lambda: O.characters() + O.WORDS + f", cf(k, v) AS ({O._values(sorted(T.lookalikes().items()))}), nf(k, v) AS ({O._values(C._compatibility())}), odd AS (SELECT doc_id, unnest(suspicious_offsets) AS pos FROM runs), o AS (SELECT f.doc_id, string_agg(coalesce(nf.v, CASE WHEN odd.pos IS NOT NULL THEN cf.v END, f.c), '' ORDER BY f.pos) AS text, count(nf.v) + count(CASE WHEN nf.v IS NULL AND odd.pos IS NOT NULL THEN cf.v END) AS changed FROM f LEFT JOIN nf ON nf.k = f.c LEFT JOIN cf ON cf.k = f.c LEFT JOIN odd ON odd.doc_id = f.doc_id AND odd.pos = f.pos GROUP BY 1) SELECT doc_id, text, changed FROM o")
@@ -346,6 +348,27 @@ def report_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", "parse_status", F.size(C.substantive(F.col("metadata"))).cast("bigint").alias("metadata_keys"), (F.size("warnings") > 0).alias("has_warnings"), clean.alias("is_clean"), code.alias("exit_code"))
 
 
+_FILES = """SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'p/' || page_id || '.txt' WHEN 1 THEN 'p/' || page_id || '.svg' WHEN 2 THEN 'p/' || page_id || '.png' WHEN 3 THEN 'p/' || page_id || '.log' WHEN 4 THEN 'p/' || page_id || '.jpg' ELSE 'p/' || page_id || '.bin' END AS path FROM pages"""
+
+
+@query(lambda: f"""WITH f AS ({_FILES})
+SELECT path, CASE page_id % 6 WHEN 1 THEN 'svg' WHEN 2 THEN 'png' WHEN 4 THEN 'jpeg' ELSE 'text' END AS kind, CAST(CASE page_id % 6 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 5 THEN 1 ELSE 0 END AS BIGINT) AS total,
+  CASE page_id % 6 WHEN 3 THEN 'resource_limit' WHEN 4 THEN 'resource_limit' ELSE 'complete' END AS parse_status, CASE WHEN page_id % 6 = 2 THEN 'a title' END AS title, page_id % 6 IN (3, 4) AS warned,
+  CASE page_id % 6 WHEN 1 THEN ['statistical text watermark', 'C2PA credential and hard-binding validity'] WHEN 2 THEN ['C2PA credential and hard-binding validity'] WHEN 4 THEN ['C2PA credential and hard-binding validity', 'container parsing completeness'] ELSE ['statistical text watermark'] END AS undeterminable FROM f""")
+def file_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as text, SVG and image files, some over a limit, some not UTF-8."""
+    k = F.col("page_id") % 6
+    html = F.regexp_replace("html", r"[^\t\n\r\x20-\x7e]", "?")
+    drawn = F.concat(F.lit("<svg><title>a\u200b\u2014</title><desc>\u202e"), F.regexp_replace(html, "[<&>]", " "), F.lit("</desc></svg>"))
+    content = F.when(k == 0, F.concat(F.lit("\ufeff"), html, F.lit("\u2014")).cast("binary")).when(k == 1, drawn.cast("binary")).when(k == 2, F.lit(samples.png("a title")))
+    content = content.when(k == 4, F.lit(samples.jpeg())).when(k == 5, F.concat(F.lit(b"\xe2\x80\x8b\xff"), F.encode(html, "UTF-8"))).otherwise(F.encode(html, "UTF-8"))
+    length = F.when(k == 3, 4_000_001).when(k == 4, 300 << 20).otherwise(F.length(content))
+    named = spark.sql(_FILES.replace("FROM pages", "FROM {pages}"), pages=_table(spark, sf_dir, "pages"))
+    f = _table(spark, sf_dir, "pages").join(named, "page_id").select("path", length.cast("bigint").alias("length"), content.alias("content"))
+    r = files.inspect(f)
+    return r.select("path", "kind", "total", "parse_status", F.try_element_at("metadata", F.lit("png.tEXt.Title")).alias("title"), (F.size("warnings") > 0).alias("warned"), "undeterminable")
+
+
 # --- conformance ---------------------------------------------------------------------------
 
 
@@ -371,3 +394,9 @@ def streaming_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillsift.streaming import streams
 
     return streams.cleaned_totals(spark, f"{sf_dir}/documents.parquet", dirty())
+
+
+# --- fixed cases ------------------------------------------------------------------------------
+
+for _fn, _sql in pins.PINS.items():
+    query(_sql)(_fn)

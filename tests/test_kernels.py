@@ -61,7 +61,7 @@ def test_positions_and_context():
     f = list(K.findings("ab\ncd" + ZWSP + "\r\n‮" + ZWSP))
     assert [(x.offset, x.line, x.column) for x in f] == [(5, 2, 3), (8, 3, 1), (9, 3, 2)]
     assert f[0].context == "ab\\ncd[U+200B]\\r\\n··"
-    assert K.context_of("x" * 100, 50, frozenset(), 2) == "…xx[U+0078]xx…"
+    assert K.context_of("x" * 100, "x", 50, 2) == "…xx[U+0078]xx…"
 
 
 def test_runs():

@@ -54,7 +54,14 @@ def test_native_columns(spark, docs):
 
 def test_prefilter_is_below_python(docs):
     plan = inspection.findings(docs)._jdf.queryExecution().executedPlan().toString()
-    assert plan.index("ArrowEvalPython") < plan.index("Filter") and "RLIKE" in plan
+    assert plan.count("ArrowEvalPython") == 1 and "RLIKE" in plan[plan.index("ArrowEvalPython") :]
+
+
+def test_findings_have_no_limit(spark):
+    many = spark.createDataFrame([(1, "x\u200b" * 10_050), (2, "y" * 1_100_000 + "\u200b")], "id int, text string")
+    got = {r.id: r.n for r in inspection.findings(many).groupBy("id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {1: 10_050, 2: 1}
+    assert {r.id: (r.total, r.parse_status) for r in inspection.reports(many).collect()} == {1: (10_000, "resource_limit"), 2: (0, "resource_limit")}
 
 
 def test_sql_functions(spark, docs):
@@ -86,6 +93,19 @@ def test_files(spark, tmp_path):
     assert not (tmp_path / "out2").exists()
     got = {r.path.rsplit("/", 1)[-1]: r for r in files.inspect(files.scan(spark, f"{tmp_path}/in")).collect()}
     assert got["p.png"].metadata == {"png.tEXt.Title": "t"} and got["s.svg"].kind == "svg" and got["a.md"].total == 2
+    assert got["p.png"].undeterminable == ["C2PA credential and hard-binding validity"] and got["a.md"].undeterminable == ["statistical text watermark"]
+    for name, body in (("big.txt", b"x" * 4_000_001), ("wide.svg", "<?xml version='1.0' encoding='utf-16'?><svg><title>a\u200b\u2014</title></svg>".encode("utf-16")), ("bad.bin", b"\xff\xfea\0")):
+        (tmp_path / "in" / name).write_bytes(body)
+    tree = files.scan(spark, f"{tmp_path}/in")
+    got = {r.path.rsplit("/", 1)[-1]: r for r in files.inspect(tree).collect()}
+    assert len(got) == tree.count() == 7
+    assert (got["big.txt"].kind, got["big.txt"].parse_status, got["big.txt"].total) == ("text", "resource_limit", 0) and got["big.txt"].warnings
+    assert (got["wide.svg"].kind, got["wide.svg"].total) == ("svg", 2) and got["bad.bin"].kind == "text"
+    huge = files.inspect(tree.withColumn("length", F.lit(300 << 20))).collect()
+    assert len(huge) == 7 and {r.parse_status for r in huge} == {"resource_limit"}
+    (tmp_path / "in" / "p.png").unlink()
+    with pytest.raises(ValueError, match="big.txt .over the text limit"):
+        files.clean_to(files.scan(spark, f"{tmp_path}/in").where("path NOT LIKE '%svg'"), f"{tmp_path}/out3")
 
 
 def test_audit(spark):
