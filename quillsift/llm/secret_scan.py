@@ -1,25 +1,33 @@
 """Secret scan by a battery of randomness tests.
 
-Candidates are runs of key-like characters in whole texts. The alphabet of a
+Candidates are runs of key-like characters in whole texts: alphanumeric runs, runs
+that may also hold the signs of base64 or of its URL form, and, where such a run
+mixes the signs of both, its maximal parts of either alphabet. An alphanumeric part
+of a longer run is a candidate of its own beside it, as a key may stand in a path, so
+one key may be found twice, at two lengths. The alphabet of a
 candidate tells its encoding (hexadecimal, base32, base36, base62, base64, or
 letters of one case). Three tests ask whether its symbols are random over that
 alphabet: chi-squared uniformity, a runs test about the alphabet's middle, and
 lag-one serial correlation; Fisher's method combines them. How surprising the
 combined value would be for ordinary text is read off strings of the same
-length and encoding that a character model of the whole corpus generates.
+length and encoding that a character model of the whole corpus generates; ordinary
+text of more than GRID's last length is only less like a key, so its null is used there.
 Within each stratum of encoding and length Benjamini-Hochberg bounds the share
 of ordinary text among the findings; findings must also pass as random.
 
+Only fingerprints leave the task that saw a candidate, never its characters.
+
 Runs of digits alone are numbers and never candidates. Defined results: null,
 empty and blank texts have no findings; a candidate that occurs twice is found
 twice; a null doc_id is carried along; rows that repeat repeat their findings;
-other columns are not looked at.
+other columns are not looked at. doc_id must be an integer.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import byte_class, cut, rows_of, word_spans
+from quillsift.llm.common import byte_class, cut, id64, rows_of, word_spans
 
 SYMBOLS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/-_"
 _CODE = np.full(256, len(SYMBOLS), np.int64)
@@ -40,8 +48,10 @@ ALPHABETS = {
 }
 _SETS = {k: frozenset(v) for k, v in ALPHABETS.items()}
 _ALNUM, _WIDE = byte_class(rb"[0-9A-Za-z]"), byte_class(rb"[0-9A-Za-z+/_-]")
+_PARTS = (re.compile("[0-9A-Za-z+/]+"), re.compile("[0-9A-Za-z_-]+"))
+_LUT = {k: np.array([v.find(chr(i)) for i in range(256)], np.int64) for k, v in ALPHABETS.items()}
 GRID = np.array([16, 20, 24, 32, 40, 48, 64, 96, 128, 256, 512])
-FOUND = "kind int, doc_id bigint, start bigint, length bigint, encoding string, token string, chi_z double, runs_z double, serial_z double, fisher double"
+FOUND = "kind int, doc_id bigint, start bigint, length bigint, encoding string, fingerprint string, chi_z double, runs_z double, serial_z double, fisher double"
 
 
 def encoding_of(token: str) -> str | None:
@@ -97,28 +107,39 @@ def candidates(docs: DataFrame, least: int = 16) -> DataFrame:
             ids = b.column(0).to_pylist()
             for lo, _, data, offs in rows_of(b):
                 code = _CODE[data]
-                both = (code[:-1] < size) & (code[1:] < size)
+                edge = np.zeros(len(data), bool)  # the first byte of a text makes no pair with the one before
+                edge[offs[:-1][offs[:-1] < len(data)]] = True
+                both = (code[:-1] < size) & (code[1:] < size) & ~edge[1:]
                 pairs += np.bincount(code[:-1][both] * size + code[1:][both], minlength=size * size)
+                before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 out: list[tuple] = []
-                for table, need, wide in ((_ALNUM, least, False), (_WIDE, least + 4, True)):
-                    starts, ends, rows = word_spans(data, offs, table)
-                    for i in np.flatnonzero(ends - starts >= need):
-                        token = data[starts[i] : ends[i]].tobytes().decode("ascii")
-                        if wide and token.isalnum():
-                            continue
-                        kind = encoding_of(token)
-                        if kind is None:
-                            continue
-                        index = np.array([ALPHABETS[kind].index(c) for c in token])[None, :]
-                        chi, runs, serial, fisher = (float(x[0]) for x in battery(index, len(ALPHABETS[kind])))
-                        before = data[offs[rows[i]] : starts[i]]
-                        out.append((0, ids[lo + rows[i]], int(((before & 0xC0) != 0x80).sum()), len(token), kind, token, chi, runs, serial, fisher))
+                for start, row, token in _runs(data, offs, least):
+                    kind = encoding_of(token)
+                    codes = (_LUT[kind][np.frombuffer(token.encode(), np.uint8)])[None, :]
+                    found = [float(x[0]) for x in battery(codes, len(ALPHABETS[kind]))]
+                    out.append((0, ids[lo + row], int(before[start] - before[offs[row]]), len(token), kind, hashlib.sha256(token.encode()).hexdigest()[:16], *found))
                 if out:
                     yield _batch(out)
         if pairs.any():
             yield _batch([(1, None, int(i), int(pairs[i]), *[None] * 6) for i in np.flatnonzero(pairs)])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, FOUND)
+    return docs.select(id64(docs), "text").mapInArrow(run, FOUND)
+
+
+def _runs(data: np.ndarray, offs: np.ndarray, least: int) -> Iterator[tuple[int, int, str]]:
+    """(start, row, characters) of every candidate of a chunk."""
+    for table, need, wide in ((_ALNUM, least, False), (_WIDE, least + 4, True)):
+        starts, ends, rows = word_spans(data, offs, table)
+        for i in np.flatnonzero(ends - starts >= need).tolist():
+            token = data[starts[i] : ends[i]].tobytes().decode("ascii")
+            if not wide:
+                if encoding_of(token):
+                    yield int(starts[i]), int(rows[i]), token
+            elif not token.isalnum():
+                parts = [(0, token)] if encoding_of(token) else [(m.start(), m.group()) for rx in _PARTS for m in rx.finditer(token)]
+                for at, part in parts:
+                    if len(part) >= need and not part.isalnum() and encoding_of(part):
+                        yield int(starts[i]) + at, int(rows[i]), part
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -182,11 +203,10 @@ def scan(docs: DataFrame, least: int = 16, q: float = 0.05, alpha: float = 1e-3,
             dev = np.array([np.interp(v, np.log(GRID), null[k][1]) for v, k in zip(x, kinds)])
             p = _tail(-(np.log(fisher + 1e-9) - mean) / dev)
             bin_ = np.floor(-np.log10(np.clip(p, 1e-15, 1)) * per_decade).astype(np.int32)
-            prints = [hashlib.sha256(t.encode()).hexdigest()[:16] for t in b.column(4).to_pylist()]
             stratum = np.searchsorted(GRID, n, side="right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(prints), *b.columns[5:8], pa.array(random_p(fisher)), pa.array(p), pa.array(stratum), pa.array(bin_)], names=["doc_id", "start", "length", "encoding", "fingerprint", "chi_z", "runs_z", "serial_z", "p_random", "p_text", "stratum", "bin"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:8], pa.array(random_p(fisher)), pa.array(p), pa.array(stratum), pa.array(bin_)], names=["doc_id", "start", "length", "encoding", "fingerprint", "chi_z", "runs_z", "serial_z", "p_random", "p_text", "stratum", "bin"])
 
-    judged = got.where("kind = 0").select("doc_id", "start", "length", "encoding", "token", "chi_z", "runs_z", "serial_z", "fisher").mapInArrow(judge, "doc_id bigint, start bigint, length bigint, encoding string, fingerprint string, chi_z double, runs_z double, serial_z double, p_random double, p_text double, stratum int, bin int")
+    judged = got.where("kind = 0").select("doc_id", "start", "length", "encoding", "fingerprint", "chi_z", "runs_z", "serial_z", "fisher").mapInArrow(judge, "doc_id bigint, start bigint, length bigint, encoding string, fingerprint string, chi_z double, runs_z double, serial_z double, p_random double, p_text double, stratum int, bin int")
     # At most encodings x length classes x bins rows.
     counts = [tuple(r) for r in judged.groupBy("encoding", "stratum", "bin").count().collect()]
     least_bin = F.lit(None).cast("int")

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -71,6 +72,65 @@ def test_finds_keys_and_leaves_words(spark):
         assert re.fullmatch(r"[0-9A-Za-z]+", dict(rows)[r.doc_id][r.start : r.start + r.length])
 
 
+def brute_scan(rows, q=0.05, alpha=1e-3):
+    """The whole scan in plain loops, but for the simulated null."""
+    found, size = [], len(S.SYMBOLS)
+    pairs = np.zeros(size * size, int)
+    for d, t in rows:
+        for a, b in zip(t, t[1:]):
+            if a in S.SYMBOLS and b in S.SYMBOLS:
+                pairs[S.SYMBOLS.index(a) * size + S.SYMBOLS.index(b)] += 1
+        spans = [m.span() for m in re.finditer("[0-9A-Za-z]{16,}", t)]
+        for m in re.finditer("[0-9A-Za-z+/_-]{20,}", t):
+            if not m.group().isalnum():
+                inner = [m.span()] if S.encoding_of(m.group()) else [(m.start() + x.start(), m.start() + x.end()) for rx in ("[0-9A-Za-z+/]{20,}", "[0-9A-Za-z_-]{20,}") for x in re.finditer(rx, m.group())]
+                spans += [(a, b) for a, b in inner if not t[a:b].isalnum()]
+        for a, b in spans:
+            if kind := S.encoding_of(t[a:b]):
+                s, alphabet = t[a:b], S.ALPHABETS[kind]
+                n, x = len(s), [alphabet.index(c) for c in s]
+                high = [v >= (len(alphabet) + 1) // 2 for v in x]
+                chi, runs = brute_battery(s, alphabet) if 1 < sum(high) < n - 1 else (None, None)
+                if runs is None:
+                    *_, fisher = S.battery(np.array([x]), len(alphabet))
+                    found.append((d, a, n, kind, float(fisher[0])))
+                    continue
+                mean = sum(x) / n
+                power = sum((v - mean) ** 2 for v in x)
+                serial = (sum((u - mean) * (v - mean) for u, v in zip(x, x[1:])) / power + 1 / n) * n**0.5
+                tail = lambda z: 0.5 * math.erfc(z / 2**0.5)
+                found.append((d, a, n, kind, -2 * sum(math.log(p) for p in (tail(chi), 2 * tail(abs(runs)), 2 * tail(abs(serial))))))
+    null, strata = S.text_null(pairs), {}
+    for d, a, n, kind, fisher in found:
+        at = math.log(min(n, int(S.GRID[-1])))
+        mean, dev = (float(np.interp(at, np.log(S.GRID), x)) for x in null[kind])
+        p = 0.5 * math.erfc((mean - math.log(fisher + 1e-9)) / dev / 2**0.5)
+        p_bin = 10 ** (-math.floor(-math.log10(max(p, 1e-15)) * 20) / 20)  # the largest p of its bin
+        strata.setdefault((kind, sum(n >= g for g in S.GRID)), []).append((p_bin, d, a, n, fisher))
+    out = set()
+    for members in strata.values():
+        passed = [p for p, *_ in members if p <= q * sum(x[0] <= p for x in members) / len(members)]
+        out |= {(d, a, n) for p, d, a, n, f in members if passed and p <= max(passed) and math.exp(-f / 2) * (1 + f / 2 + f * f / 8) >= alpha}
+    return out
+
+
+def test_whole_scan_against_brute_force(spark):
+    rng = random.Random(8)
+    syllables = ["the", "er", "ing", "ation", "on", "st", "re", "and", "en", "/", "-"]
+    rows = []
+    for i in range(120):
+        t = " ".join("".join(rng.choices(syllables, k=rng.choice([2, 3, 7, 9, 12]))) for _ in range(40))
+        key = "".join(rng.choices(S.ALPHABETS[rng.choice(["hex", "base62", "base64", "base64_url"])], k=rng.choice([24, 40, 64])))
+        rows.append((i, t + [f" {key} \u00e9", f" /t/{key}_x", "", " 1234567890123456789"][i % 4]))
+    got = {(r.doc_id, r.start, r.length) for r in S.scan(make(spark, rows)).collect()}
+    assert got == brute_scan(rows) and len(got) > 20
+
+
+def test_no_secret_leaves_its_task(spark):
+    key = "f3a9c1d27b5e8064f1d39ab2c6e7504889aa01bc"
+    assert not [r for r in S.candidates(make(spark, [(1, f"k={key}")])).collect() if key in str(r.asDict())]
+
+
 def test_odd_rows(spark, odd, empty):
     assert S.scan(empty).count() == 0
     assert all(r.length >= 16 for r in S.scan(odd).collect())
