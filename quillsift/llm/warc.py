@@ -5,19 +5,23 @@ be read without all before it. normalise() inflates each file once, piece by
 piece, writes every record as a gzip member of its own into a new file and a
 sidecar index of (record, offset, length, type, uri, payload size, digest).
 With the index a reader fetches one record by one ranged read. Memory does not
-grow with the file; one header, of any length, and one compressed record are
-held until the record proves whole.
+grow with the file: index rows go to the sidecar as they arise; one header, of any
+length, and one compressed record are held until the record proves whole.
 
 Files live in a folder that all executors share, reached through its URI. Each
 task writes under a name of its own attempt and renames when complete, so
-retried and speculative tasks leave whole files only.
+retried and speculative tasks leave whole files only. A result has its input's name;
+inputs of one name from several folders get a digest of their path before it.
+
+Pages are written as ``resource`` records, as they come without HTTP headers.
 
 Defined results: null urls and html are marked and come back as nulls; empty
 html is a record without payload; repeated pages are records of their own;
-control characters and spaces of a url are percent-encoded in the header, and
-come back; a truncated or malformed file gives its whole records and one row
+control characters and spaces of a page's url are percent-encoded in the header, which
+says so, and come back; URIs of other archives stay as they are; a truncated or malformed
+file gives its whole records and one row
 with its status; an empty file gives a row with status ``empty``; other columns
-are not looked at.
+are not looked at. page_id must be an integer.
 """
 
 from __future__ import annotations
@@ -32,24 +36,24 @@ from urllib.parse import quote, unquote
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import cut, scratch
+from quillsift.llm.common import cut, discard, id64, scratch
 
 PIECE = 1 << 18
-INDEX = "file string, record bigint, offset bigint, length bigint, warc_type string, uri string, page_id bigint, payload_bytes bigint, payload_md5 string, status string"
+INDEX = "source string, file string, record bigint, offset bigint, length bigint, warc_type string, uri string, page_id bigint, payload_bytes bigint, payload_md5 string, status string"
 _NAMES = [x.split()[0] for x in INDEX.split(", ")]
-_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+_TYPES = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 _SAFE = "".join(chr(c) for c in range(0x21, 0x7F) if c != 0x25)
 
 
-def record_bytes(page_id: int | None, url: str | None, html: str | None) -> bytes:
-    """One WARC response record; the same page always gives the same bytes."""
+def record_bytes(page_id: int | None, url: str | None, html: str | None, date: str = "1970-01-01T00:00:00Z") -> bytes:
+    """One WARC resource record; the same page always gives the same bytes. Pages have no date of their own."""
     body = (html or "").encode("utf-8", "surrogatepass")
     name = uuid.UUID(bytes=hashlib.md5(repr((page_id, url)).encode() + body).digest())
     nulls = ",".join(k for k, v in (("page_id", page_id), ("url", url), ("html", html)) if v is None)
-    lines = ["WARC/1.0", "WARC-Type: response", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Target-URI: {quote(url or '', safe=_SAFE)}", "Content-Type: text/html; charset=utf-8", f"Page-ID: {page_id if page_id is not None else ''}"]
+    lines = ["WARC/1.0", "WARC-Type: resource", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Date: {date}", f"WARC-Target-URI: {quote(url or '', safe=_SAFE)}", "Page-URI-Encoding: percent", "Content-Type: text/html; charset=utf-8", f"Page-ID: {page_id if page_id is not None else ''}"]
     lines += [f"Page-Nulls: {nulls}"] * bool(nulls) + [f"Content-Length: {len(body)}", "", ""]
     return "\r\n".join(lines).encode() + body + b"\r\n\r\n"
 
@@ -84,7 +88,7 @@ def write_monolithic(pages: DataFrame, folder: str, level: int = 6) -> DataFrame
             out.commit()
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/part-{part:06d}.warc.gz"])], names=["path"])
 
-    return cut(pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInArrow(run, "path string"))
+    return cut(pages.select(id64(pages, "page_id"), "url", "html").mapInArrow(run, "path string"))
 
 
 class Inflated:
@@ -158,12 +162,17 @@ def _fields(header: bytes) -> dict[str, str] | None:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:] if ":" in x)}
 
 
-def normalise_file(source: str, target: str, level: int = 6) -> list[tuple]:
-    """The index rows of one file; writes the target and its sidecar."""
+def normalise_file(source: str, target: str, level: int = 6) -> Iterator[tuple]:
+    """The index rows of one file, one by one; writes the target and its sidecar, which are there once all rows were taken."""
     fs, path = pafs.FileSystem.from_uri(source)
-    out = _Out(target)
-    rows: list[tuple] = []
-    name, offset, status = target.rsplit("/", 1)[-1], 0, "complete"
+    out, side = _Out(target), _Out(target + ".index.jsonl")
+    name, offset, status, n = target.rsplit("/", 1)[-1], 0, "complete", 0
+
+    def noted(*row) -> tuple:
+        row = (source, name, n, *row)
+        side.stream.write((json.dumps(dict(zip(_NAMES, row)), ensure_ascii=True) + "\n").encode())
+        return row
+
     with fs.open_input_stream(path, compression=None) as stream:
         src = Inflated(stream)
         while not src.at_end():
@@ -188,32 +197,39 @@ def normalise_file(source: str, target: str, level: int = 6) -> list[tuple]:
                 out.stream.write(x)
                 offset += len(x)
             nulls = fields.get("page-nulls", "").split(",")
-            page = fields.get("page-id", "")
-            rows.append((name, len(rows), start, offset - start, fields.get("warc-type"), None if "url" in nulls else unquote(fields.get("warc-target-uri", "")), int(page) if page.lstrip("-").isdigit() else None, None if "html" in nulls else got, None if "html" in nulls else digest.hexdigest(), "complete"))
+            page, uri = fields.get("page-id", ""), fields.get("warc-target-uri", "")
+            uri = unquote(uri) if fields.get("page-uri-encoding") == "percent" else uri
+            yield noted(start, offset - start, fields.get("warc-type"), None if "url" in nulls else uri, int(page) if page.lstrip("-").isdigit() else None, None if "html" in nulls else got, None if "html" in nulls else digest.hexdigest(), "complete")
+            n += 1
         if status == "complete" and not src.whole:
             status = "truncated"
-    if status == "complete" and not rows:
+    if status == "complete" and not n:
         status = "empty"
     if status != "complete":
-        rows.append((name, len(rows), None, None, None, None, None, None, None, status))
+        yield noted(*[None] * 7, status)
     out.commit()
-    side = _Out(target + ".index.jsonl")
-    for r in rows:
-        side.stream.write((json.dumps(dict(zip(_NAMES, r)), ensure_ascii=True) + "\n").encode())
     side.commit()
-    return rows
 
 
 def normalise(paths: DataFrame, folder: str) -> DataFrame:
     """The index of all files; one task per file, as one stream can't be split. Computed once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=_NAMES)
         for b in batches:
-            for path in b.column(0).to_pylist():
-                rows = normalise_file(path, f"{folder}/{path.rsplit('/', 1)[-1]}")
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=_NAMES)
-
-    paths = paths.select("path").distinct()
+            for path, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                held: list[tuple] = []
+                for row in normalise_file(path, f"{folder}/{name}"):
+                    held.append(row)
+                    if len(held) == 5000:
+                        yield batch(held)
+                        held = []
+                if held:
+                    yield batch(held)
+
+    paths = paths.select("path").distinct().withColumn("base", F.regexp_extract("path", "[^/]+$", 0))
+    alike = F.count(F.lit(1)).over(Window.partitionBy("base")) > 1
+    paths = cut(paths.select("path", F.when(alike, F.concat(F.left(F.md5("path"), F.lit(12)), F.lit("-"), "base")).otherwise(F.col("base")).alias("name")))
     n = max(1, paths.count())
     return cut(paths.repartitionByRange(n, "path").mapInArrow(run, INDEX))
 
@@ -245,14 +261,13 @@ def _archived(pages: DataFrame) -> tuple[DataFrame, str]:
     spark = pages.sparkSession
     folder = scratch(spark, "warc")
     index = normalise(write_monolithic(pages, f"{folder}/monolithic"), f"{folder}/records")
-    fs, path = pafs.FileSystem.from_uri(f"{folder}/monolithic")
-    if fs.get_file_info(path).type == pafs.FileType.Directory:
-        fs.delete_dir(path)
+    discard(spark, f"{folder}/monolithic")
     return index, f"{folder}/records"
 
 
 def archive_index(pages: DataFrame) -> DataFrame:
-    return _archived(pages)[0]
+    """The index over all pages. Where their archives lay differs from run to run and is left out."""
+    return _archived(pages)[0].drop("source")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def test_round_trip(spark, tmp_path):
 
 def archive(tmp_path, raw, name="a.warc.gz"):
     (tmp_path / name).write_bytes(raw)
-    return [(r[1], r[-1]) for r in W.normalise_file(f"file://{tmp_path}/{name}", f"file://{tmp_path}/out/{name}")]
+    return [(r[2], r[-1]) for r in W.normalise_file(f"file://{tmp_path}/{name}", f"file://{tmp_path}/out/{name}")]
 
 
 def test_broken_files(tmp_path):
@@ -55,6 +55,35 @@ def test_a_url_of_megabytes_hides_no_record(spark, tmp_path):
     assert archive(tmp_path, gzip.compress(W.record_bytes(1, "u", "a") + b"junk" * 500_000)) == [(0, "complete"), (1, "malformed")]
 
 
+def foreign(uri, body, *more, kind="response", end="\r\n"):
+    """A record as other writers make it."""
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Target-URI: {uri}", "WARC-Date: 2020-02-02T02:02:02Z", "WARC-Record-ID: <urn:uuid:1>", *more, f"content-length:{len(body)}", "", ""]
+    return end.join(lines).encode() + body + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    for n in ("x", "y"):
+        (tmp_path / n).mkdir()
+        raw = foreign("http://h/a%20b%2Fc", b"HTTP/1.1 200 OK\r\n\r\n" + n.encode()) + foreign("", b"software: s", kind="warcinfo") + foreign("http://h/" + n, b"", "X-Long: " + "v" * (2 << 20), kind="metadata")
+        (tmp_path / n / "a.warc.gz").write_bytes(gzip.compress(raw))
+    (tmp_path / "x" / "b.warc.gz").write_bytes(gzip.compress(foreign("u", b"1")))
+    folder = f"file://{tmp_path}"
+    paths = spark.createDataFrame([(f"{folder}/{p}",) for p in ("x/a.warc.gz", "y/a.warc.gz", "x/b.warc.gz", "x/b.warc.gz")], "path string")
+    rows = W.normalise(paths, folder + "/out").collect()
+    assert len(rows) == 7 and {r.status for r in rows} == {"complete"} and len({r.file for r in rows}) == 3 and "b.warc.gz" in {r.file for r in rows}
+    for r in rows:
+        raw = (tmp_path / "out" / r.file).read_bytes()
+        record = gzip.decompress(raw[r.offset : r.offset + r.length])
+        whole = gzip.decompress((tmp_path / r.source.removeprefix(folder + "/")).read_bytes())
+        assert record in whole and gzip.decompress(raw) == whole
+        assert (r.uri, r.warc_type) in {("http://h/a%20b%2Fc", "response"), ("", "warcinfo"), ("http://h/x", "metadata"), ("http://h/y", "metadata"), ("u", "response")}
+
+
+def test_records_have_what_the_format_asks_for():
+    head = W.record_bytes(1, "http://a", "x").split(b"\r\n\r\n")[0].decode().split("\r\n")
+    assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= {x.split(":")[0] for x in head} and "WARC-Type: resource" in head
+
+
 @pytest.mark.parametrize("n", [0])
 def test_no_pages(spark, n):
     empty = spark.createDataFrame([], PAGES)
