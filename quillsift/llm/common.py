@@ -19,10 +19,12 @@ CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh local one where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local session gets a folder of its own where it is unset."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="quillsift-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(where)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.llm import pieces
-from quillsift.llm.common import bounded, cut, i64, rows_of
+from quillsift.llm.common import bounded, cut, i64, id64, rows_of
 
 START = 1  # every document begins after the start piece
 DISCOUNT = 0.75
@@ -61,7 +61,7 @@ def encoded(docs: DataFrame, target: DataFrame, model: str, target_limit: int =
                     inside = (sent.value[known] == own.fill_null(0).to_numpy()) & own.is_valid().to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([own, pa.array(inside), raw], names=["doc_id", "in_target", "ids"])
 
-    src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, in_target boolean, ids binary")
+    src = docs.select(id64(docs), "text").mapInArrow(run, "doc_id bigint, in_target boolean, ids binary")
     if few is not None:
         return src
     return src.join(t, src["doc_id"] == t["_t"], "left").select("doc_id", F.col("_t").isNotNull().alias("in_target"), "ids")

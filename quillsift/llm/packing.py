@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillsift.llm import pieces
-from quillsift.llm.common import cut, i64, rows_of
+from quillsift.llm.common import cut, i64, id64, rows_of
 
 
 def token_counts(docs: DataFrame, model: str = pieces.SECOND_MODEL) -> DataFrame:
@@ -40,7 +40,7 @@ def token_counts(docs: DataFrame, model: str = pieces.SECOND_MODEL) -> DataFrame
                 part = b.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([part.column(0), i64(pieces.measure_docs(data, offs, model)[0]), part.column(2)], names=["doc_id", "n_tokens", "text_hash"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id bigint, n_tokens bigint, text_hash bigint")
+    return docs.select(id64(docs), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id bigint, n_tokens bigint, text_hash bigint")
 
 
 def _layer(best: np.ndarray, total: np.ndarray, longest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

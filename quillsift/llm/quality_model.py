@@ -15,7 +15,8 @@ Defined results: null, empty and blank texts have all statistics 0 and are
 scored as such; several labels of a doc_id count as their worst (quality 0,
 toxic 1); null labels and labels of unknown documents are ignored; without any
 usable label the scores are null and every document is kept; rows that repeat
-get equal scores; other columns are not looked at.
+get equal scores; of several texts of a labelled doc_id the least is fitted; other
+columns are not looked at. doc_id must be an integer.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import SPACE_SPLIT, WORDS, byte_class, cut, mix64, rows_of, word_hashes, word_spans
+from quillsift.llm.common import SPACE_SPLIT, WORDS, byte_class, cut, id64, mix64, rows_of, word_hashes, word_spans
 
 HEADS = ("quality", "toxic")
 _CLASS = np.zeros(256, np.int64)
@@ -153,7 +154,8 @@ def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame
     y = y.withColumn("_o", F.xxhash64("_y")).orderBy("_o", "_y").limit(max_labelled)
     # The sample is bounded by max_labelled, so it may be sent to every task.
     d = docs.select("doc_id", "text").join(F.broadcast(y), docs["doc_id"] == y["_y"])
-    return cut(d.dropDuplicates(["doc_id"]).select("doc_id", "text", "quality", "toxic", F.pmod(F.shiftright("_o", 8), F.lit(4)).cast("int").alias("part")))
+    d = d.groupBy("doc_id", "quality", "toxic", "_o").agg(F.min("text").alias("text"))  # of several texts of one doc_id the least
+    return cut(d.select("doc_id", "text", "quality", "toxic", F.pmod(F.shiftright("_o", 8), F.lit(4)).cast("int").alias("part")))
 
 
 def find_words(sample: DataFrame, least: int = 5, most: int = 20_000) -> Lexicon:
@@ -259,7 +261,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, quality, toxic, keep) of every document."""
     if model is None:
         nothing = F.lit(None).cast("double")
-        return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), nothing.alias("quality"), nothing.alias("toxic"), F.lit(True).alias("keep"))
+        return docs.select(id64(docs), nothing.alias("quality"), nothing.alias("toxic"), F.lit(True).alias("keep"))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the features and by most words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +270,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 p = sent.value.calibrated(statistics(data, offs, sent.value.lexicon))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(p[:, 0]), pa.array(p[:, 1])], names=["doc_id", "quality", "toxic"])
 
-    out = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, quality double, toxic double")
+    out = docs.select(id64(docs), "text").mapInArrow(run, "doc_id bigint, quality double, toxic double")
     return out.withColumn("keep", (F.col("quality") >= 0.5) & (F.col("toxic") < 0.5))
 
 

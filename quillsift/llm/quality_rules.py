@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.llm import pieces
-from quillsift.llm.common import cut, i64, rows_of, without
+from quillsift.llm.common import cut, i64, id64, rows_of, without
 
 METRICS = "doc_id bigint, text_hash bigint, band string, n_tokens bigint, chars_per_token double, byte_share double, token_entropy double, chars_per_token_2 double, byte_share_2 double"
 SCRIPTS = (("Latin", 0x41, 0x24F), ("Greek", 0x370, 0x3FF), ("Cyrillic", 0x400, 0x52F), ("Hebrew", 0x590, 0x5FF), ("Arabic", 0x600, 0x6FF), ("Devanagari", 0x900, 0x97F), ("Thai", 0xE00, 0xE7F), ("Hangul", 0xAC00, 0xD7AF), ("Kana", 0x3040, 0x30FF), ("Han", 0x4E00, 0x9FFF))
@@ -58,7 +58,7 @@ def entropies(ids: np.ndarray, offs: np.ndarray) -> np.ndarray:
 def measure(docs: DataFrame, model: str = pieces.DEFAULT_MODEL, second: str = pieces.SECOND_MODEL) -> DataFrame:
     """One narrow row per document with its fertility metrics; a single pass, no shuffle."""
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"), F.nullif(F.trim(lang), F.lit("")).alias("lang"))
+    src = docs.select(id64(docs), "text", F.xxhash64("text").alias("text_hash"), F.nullif(F.trim(lang), F.lit("")).alias("lang"))
     per = lambda x, n: pa.array(np.where(n > 0, x / np.maximum(n, 1), 0.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
