@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillsift.functions import columns as C
 from quillsift.functions import kernels as K
+from quillsift.functions import reports as R
 from quillsift.functions import taxonomy as T
 from quillsift.functions import udfs as U
 
@@ -69,20 +69,14 @@ def reports(docs: DataFrame, text: str = "text", kind: str = "text") -> DataFram
         *[c for c in docs.columns if c != text],
         F.lit(kind).alias("kind"), f.alias("findings"), by_category.alias("counts_by_category"), by_severity.alias("counts_by_severity"), F.size(f).cast("bigint").alias("total"),
         F.array_max(F.transform(f, lambda x: C.rank_of(x["severity"]))).alias("top_rank"),
-        F.col("_r.parse_status").alias("parse_status"), F.lit("code points and mixed scripts").alias("coverage"), F.col("_r.warnings").alias("warnings"),
-        F.array(F.struct(F.lit("statistical text watermark").alias("claim"), F.lit("not evaluated: no detector or scheme is known here").alias("reason"))).alias("undeterminable"),
+        F.col("_r.parse_status").alias("parse_status"), F.lit(R.TEXT_COVERAGE).alias("coverage"), F.col("_r.warnings").alias("warnings"),
+        F.array(F.struct(F.lit(R.WATERMARK[0]).alias("claim"), F.lit(R.WATERMARK[1]).alias("reason"))).alias("undeterminable"),
     )
 
 
-NOT_DETERMINABLE = [{"claim": "statistical text watermark", "reason": "not evaluated: no detector or scheme is known here"}]
-
-
 def report_dict(found: K.Inspection, source: str, kind: str = "text") -> dict:
     """The report of one document as nested plain values."""
-    by_category = sorted(Counter(f.category for f in found.findings).items(), key=lambda x: (-x[1], x[0]))
-    status = {"parse_status": found.parse_status, "coverage": "code points and mixed scripts", "warnings": found.warnings, "refusal_reasons": []}
-    shown = {"findings": [f._asdict() for f in found.findings], "counts_by_category": dict(by_category), "counts_by_severity": dict(Counter(f.severity for f in found.findings)), "metadata": {}, "total": len(found.findings), "status": status}
-    return {"source": source, "kind": kind, "verifiable": shown, "not_determinable": NOT_DETERMINABLE, "changed": False, "removed": 0, "folded": 0, "normalized": 0, "transformed": 0}
+    return R.body(source, kind, R.verifiable(found.findings, {}, R.status(found.parse_status, warnings=found.warnings)), [R.WATERMARK])
 
 
 @U._arrow("string")

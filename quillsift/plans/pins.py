@@ -265,7 +265,66 @@ def pinned_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, bytes bigint")
 
 
+#: A tree of files, an order, the exit code, and the text of the cleaned file afterwards
+ORDERS = [
+    ("inspect", ["inspect", "-r", "d"], 0, "x​—\n"), ("inspect, strict", ["inspect", "--fail-on", "invisible", "d/a.md"], 1, "x​—\n"), ("inspect, a folder", ["inspect", "d"], 2, "x​—\n"), ("inspect, nothing there", ["inspect", "d/none"], 2, "x​—\n"), ("inspect, a link", ["inspect", "-r", "l"], 2, "x​—\n"),
+    ("check", ["clean", "--check", "-r", "d"], 1, "x​—\n"), ("check, clean", ["clean", "--check", "d/c.txt"], 0, "x​—\n"), ("dry run", ["clean", "--dry-run", "-r", "d"], 0, "x​—\n"), ("output", ["clean", "d/a.md"], 0, "x​—\n"), ("output of several", ["clean", "d/a.md", "d/c.txt"], 2, "x​—\n"),
+    ("in place", ["clean", "-i", "-r", "d"], 0, "x—\n"), ("in place, as code", ["clean", "-i", "--profile", "code", "d/a.md"], 0, "x-\n"), ("with backup", ["clean", "-i", "--backup", "d/a.md"], 0, "x—\n"), ("backup there", ["clean", "-i", "--backup", "d/b.py"], 2, "x​—\n"), ("backup over", ["clean", "-i", "--backup", "--overwrite-backup", "d/b.py"], 0, "x\u200b—\n"), ("backup is a target", ["clean", "-i", "--backup", "--overwrite-backup", "-r", "d"], 2, "x\u200b—\n"), ("container", ["clean", "-i", "p.pdf"], 2, "x​—\n"),
+]
+
+
+def _ordered(args: list[str]) -> tuple[int, str, int, bool]:
+    """Exit code, the text of a.md, how many backups there are, and whether any temporary file is left, in a fresh tree."""
+    import contextlib
+    import io
+    import os
+    import tempfile
+    from pathlib import Path
+
+    from quillsift import cli
+
+    with tempfile.TemporaryDirectory() as top:
+        root = Path(top)
+        (root / "d").mkdir()
+        (root / "l").mkdir()
+        (root / "d" / "a.md").write_text("x\u200b\u2014\n", encoding="utf-8")
+        (root / "d" / "b.py").write_text("s = \u201cq\u201d\n", encoding="utf-8")
+        (root / "d" / "b.py.bak").write_text("old\n")
+        (root / "d" / "c.txt").write_text("fine\n")
+        (root / "p.pdf").write_bytes(S.pdf("t"))
+        os.symlink(root / "d" / "a.md", root / "l" / "k")
+        out = io.TextIOWrapper(io.BytesIO(), encoding="utf-8")
+        with contextlib.redirect_stdout(out), contextlib.redirect_stderr(out):
+            code = cli.main([str(root / a) if a.split("/")[0] in ("d", "l", "p.pdf") else a for a in args])
+        left = [p.name for p in root.rglob("*")]
+        return code, (root / "d" / "a.md").read_text(encoding="utf-8"), sum(n.endswith(".bak") for n in left), any(n.startswith(".") for n in left)
+
+
+def pinned_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What orders of the command line do to a tree of files, each in a tree of its own."""
+
+    @F.pandas_udf("struct<code:bigint,text:string,backups:bigint,litter:boolean>")
+    def run(args: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_ordered(list(a)) for a in args], columns=["code", "text", "backups", "litter"])
+
+    d = spark.createDataFrame([r[:2] for r in ORDERS], "name string, args array<string>")
+    return d.select("name", run("args").alias("r")).select("name", "r.*")
+
+
+AUDITED = [("correctness", "contraband", 17), ("correctness", "fidelity", 11), ("correctness", "load-bearing", 12), ("policy", "confusables", 3), ("policy", "context-dependent", 4), ("policy", "typography", 5), ("policy", "whitespace", 2)]
+
+
+def pinned_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many cases a group has, and how many our cleaner and one that does nothing pass."""
+    from quillsift.operators import audit
+
+    got = audit.by_group(audit.run(audit.corpus(spark), {"own": audit.own, "nothing": audit.nothing}))
+    return got.groupBy("tier", F.col("grp").alias("group")).agg(F.max("cases").alias("cases"), F.sum(F.when(F.col("tool") == "own", F.col("passed"))).alias("own"), F.sum(F.when(F.col("tool") == "nothing", F.col("passed"))).alias("nothing"))
+
+
 PINS = {
+    pinned_orders: lambda: values([(n, c, t, 2 if n == "with backup" else 1, False) for n, _, c, t in ORDERS], "name", "code", "text", "backups", "litter"),
+    pinned_audit: lambda: values([(t, g, n, n, {"contraband": 0, "whitespace": 0, "typography": 4}.get(g, n)) for t, g, n in AUDITED], "tier", "group", "cases", "own", "nothing"),
     pinned_classes: lambda: values([(*r, r[1]) for r in CLASSES], "codepoint", "category", "severity", "name", "ranged"),
     pinned_severities: lambda: values(SEVERITIES, "severities", "categories"),
     pinned_traits: lambda: values(TRAITS, "ch", "emoji", "joins", "family", "barrier", "script", "folded"),

@@ -158,10 +158,14 @@ def counts_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", F.col("counts_by_category.category").alias("categories"), F.col("counts_by_category.n").alias("counts"))
 
 
-@query()
+@query(lambda: O.characters() + _MIXED + ", a AS (SELECT doc_id, count(*) AS total, max(pos) AS last, count(*) FILTER (WHERE category = 'dash') AS dashes FROM hit GROUP BY 1) SELECT src.doc_id, CAST(src.doc_id AS VARCHAR) AS source, coalesce(total, 0) AS total, last, coalesce(dashes, 0) AS dashes, 'complete' AS parse_status, true AS ascii, 0::BIGINT AS transformed, 'statistical text watermark' AS claim FROM src LEFT JOIN a USING (doc_id)")
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ASCII-only JSON per document."""
-    return inspection.report_json(_docs(spark, sf_dir), "doc_id")
+    """ASCII-only JSON per document, read back."""
+    j = inspection.report_json(inspection.spread(_docs(spark, sf_dir)), "doc_id")
+    schema = "source string, transformed bigint, not_determinable array<struct<claim:string>>, verifiable struct<total:bigint, findings:array<struct<offset:bigint>>, counts_by_category:map<string,bigint>, status:struct<parse_status:string>>"
+    j = j.select("doc_id", (~F.col("json").rlike(r"[^\x00-\x7f]")).alias("ascii"), F.from_json("json", schema).alias("r"))
+    v = "r.verifiable"
+    return j.select("doc_id", "r.source", f"{v}.total", F.array_max(F.col(f"{v}.findings.offset")).alias("last"), F.coalesce(F.try_element_at(F.col(f"{v}.counts_by_category"), F.lit("dash")), F.lit(0)).cast("bigint").alias("dashes"), F.col(f"{v}.status.parse_status").alias("parse_status"), "ascii", "r.transformed", F.col("r.not_determinable")[0]["claim"].alias("claim"))
 
 
 @query(lambda: O.characters() + ", n AS (SELECT doc_id, count(*) AS n FROM found GROUP BY 1) SELECT l.quality, l.toxic, count(*) AS docs, CAST(sum(coalesce(n.n, 0)) AS BIGINT) AS findings FROM labels l JOIN documents d USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY 1, 2")
@@ -258,7 +262,10 @@ def fold_confusables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", U.fold_confusables("text").alias("r")).select("doc_id", "r.text", F.col("r.changed").cast("bigint").alias("changed"))
 
 
-@query()
+_SHOWN = "CASE WHEN unicode(c) < 32 OR unicode(c) BETWEEN 127 AND 159 THEN printf('\\x%02x', unicode(c)) WHEN unicode(c) IN (1564, 8206, 8207) OR unicode(c) BETWEEN 8234 AND 8238 OR unicode(c) BETWEEN 8294 AND 8297 THEN printf('\\u%04x', unicode(c)) ELSE c END"
+
+
+@query(lambda: f"WITH s AS (SELECT doc_id, {dirty()} AS text FROM documents), ch AS (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS p FROM s), e AS (SELECT doc_id, string_agg({_SHOWN}, '' ORDER BY p) AS safe FROM ch WHERE c <> '' GROUP BY 1) SELECT s.doc_id, coalesce(e.safe, '') AS safe FROM s LEFT JOIN e USING (doc_id)")
 def terminal_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K6."""
     return _docs(spark, sf_dir).select("doc_id", U.terminal_safe("text").alias("safe"))

@@ -31,15 +31,18 @@ def cleaned_totals(spark: SparkSession, documents: str, text_sql: str) -> DataFr
 
     from quillsift.functions import udfs as U
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if sc.master.startswith("local-cluster") or not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="quillsift-")
     out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    static = spark.read.parquet(documents)
-    reader = spark.readStream.schema(static.schema)
-    if any(f.rstrip("/").endswith(documents.rsplit("/", 1)[-1]) for f in static.inputFiles()[:1]):  # a file of its own
+    reader = spark.readStream.schema(spark.read.parquet(documents).schema)
+    where = sc._jvm.org.apache.hadoop.fs.Path(documents)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isFile():  # a stream reads folders
         folder, _, name = documents.rpartition("/")
         reader, documents = reader.option("pathGlobFilter", name), folder
     d = reader.parquet(documents).select("doc_id", F.expr(text_sql).alias("text"))

@@ -113,7 +113,12 @@ def test_audit(spark):
     s = {x.tool: x for x in audit.summary(r).collect()}
     assert (s["own"].passed, s["own"].scored, s["own"].corruptions, s["own"].leaks) == (40, 40, 0, 0) and s["raises"].passed == 0
     assert r.where("tool = 'own' AND NOT passed").count() == 0 and len(audit.CASES) == 54
-    assert "| own | 40 | 40 | 0 | 0 |" in audit.markdown(r) and audit.shown("a​|\n") == "`aU+200B\\|\\n`"
+    text = audit.markdown(r)
+    assert "| own | 40 | 40 | 0 | 0 |" in text and "### load-bearing" in text and "## Policy cases" in text and "| own | 12 | 12 |" in text and "RuntimeError: no" in text
+    assert set(audit.GROUPS) == {c[2] for c in audit.CASES}
+    body = json.loads(audit.result_json(r))
+    assert audit.result_json(r).isascii() and body["own"]["passed"] == 40 and len(body["raises"]["cases"]) == 54 and sum(g["cases"] for g in body["own"]["groups"]) == 54
+    assert audit.shown("a​|\n") == "`aU+200B\\|\\n`"
 
 
 def test_windowed_stream(spark, tmp_path):
