@@ -25,11 +25,17 @@ def codepoint_ranges(spark) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where it has fewer splits, as one large row group is one task; many splits stay as they are."""
+    """df over all cores where a scan has fewer splits, as one large row group is one task; many splits stay as they are.
+
+    A plan that shuffles has as many tasks as it needs already, and counting them would run it.
+    """
     if df.isStreaming:
         return df
+    plan = df._jdf.queryExecution()
+    if plan.executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
 
 
 def findings(docs: DataFrame, text: str = "text", width: int = 24) -> DataFrame:
