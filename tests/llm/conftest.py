@@ -26,7 +26,7 @@ def odd(spark):
     from pyspark.sql import functions as F
 
     d = make(spark, ODD)
-    for c in ("text_hash", "keep", "h1", "bucket", "a", "b", "key", "rep", "item_id", "_o", "n", "drop", "band", "removed"):
+    for c in ("text_hash", "keep", "h1", "bucket", "a", "b", "key", "rep", "item_id", "_o", "n", "drop", "band", "removed", "_qs_hash", "_qs_id", "_qs_bad", "_qs_text", "_QS_ROW", "_qs_dropped", "_t", "_y", "ids", "part", "dense", "a.b"):
         d = d.withColumn(c, F.lit("clash"))
     return d
 
