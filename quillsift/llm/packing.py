@@ -11,8 +11,8 @@ documents fill batches of at most ``budget`` padded tokens, in the order of
 bucket over many tasks: the place of a document is its rank in its block plus the
 size of the blocks before.
 
-Defined results: null, empty and blank texts have 0 tokens and share the first
-bucket; a text longer than the budget is a batch of its own; rows that repeat a
+Defined results: null and empty texts have 0 tokens and share the first bucket
+with the shortest texts; blank texts have the tokens of their white space; a text longer than the budget is a batch of its own; rows that repeat a
 doc_id are packed one by one; null doc_ids sort first in their blocks; an empty
 table gives an empty result; other columns are not looked at. doc_id is read as
 a 64-bit integer.
@@ -32,13 +32,13 @@ from quillsift.llm.common import cut, i64, id64, rows_of
 
 
 def token_counts(docs: DataFrame, model: str = pieces.SECOND_MODEL) -> DataFrame:
-    """(doc_id, n_tokens, text_hash) under a public vocabulary; whole texts, one pass."""
+    """(doc_id, n_tokens, text_hash): the length of the whole text, white space included, under a public vocabulary; one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, offs in rows_of(b):
                 part = b.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column(0), i64(pieces.measure_docs(data, offs, model)[0]), part.column(2)], names=["doc_id", "n_tokens", "text_hash"])
+                yield pa.RecordBatch.from_arrays([part.column(0), i64(pieces.count_docs(data, offs, model)), part.column(2)], names=["doc_id", "n_tokens", "text_hash"])
 
     return docs.select(id64(docs), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id bigint, n_tokens bigint, text_hash bigint")
 

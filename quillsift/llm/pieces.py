@@ -8,12 +8,18 @@ full, so its size does not depend on the data. Words are told apart by 64-bit
 hashes.
 
 Byte-level vocabularies (.tiktoken) encode a word with the space before it.
+
+``count_docs`` gives the length of each whole text as its tokeniser has it, white
+space included: a byte-level vocabulary splits a text into words with or without
+one space before them and runs of the white space between, so each of these is
+counted once and looked up after that.
 """
 
 from __future__ import annotations
 
 import base64
 import os
+import re
 from functools import cache
 from itertools import chain
 
@@ -24,16 +30,23 @@ from quillsift.llm.common import SPACE_SPLIT, byte_class, word_hashes, word_span
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SECOND_MODEL = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 CACHE_WORDS = 1_000_000
+CACHE_GAPS = 100_000
+LONG_GAP = 1_000  # bytes; longer ones aren't remembered
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Bytes of words that may hold white space or vanish when normalised: all but visible ASCII and Latin letters.
 _ODD = ~byte_class(rb"[\x21-\x7e\x80-\xbf\xc3-\xc8]")
+#: What may be white space to a tokeniser or to Python but isn't one of the six ASCII characters: texts with it are encoded whole.
+_WIDE_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 
 class Vocabulary:
-    """size, is_byte (pieces that are no whole characters) and the ids of words."""
+    """size, is_byte (pieces that are no whole characters) and the ids of words.
+
+    With bare, a byte-level vocabulary encodes words that have no space before them.
+    """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, bare: bool = False) -> None:
         if not os.path.exists(path):
             raise FileNotFoundError(f"no tokenizer model at {path}")
         if path.endswith(".tiktoken"):
@@ -46,7 +59,7 @@ class Vocabulary:
             for piece, i in ranks.items():
                 self.is_byte[i], self.width[i] = not _whole(piece), len(piece)
             self.bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-            self.each, self.joined = self._each_bytes, self._joined_bytes
+            self.each, self.joined = (self._each_bare, self._joined_bare) if bare else (self._each_bytes, self._joined_bytes)
         else:
             import sentencepiece
 
@@ -64,6 +77,16 @@ class Vocabulary:
     def _each_bytes(self, words: list[str]) -> list[list[int]]:
         return [self.bpe.encode_ordinary(" " + w) for w in words]
 
+    def _each_bare(self, words: list[str]) -> list[list[int]]:
+        return [self.bpe.encode_ordinary(w) for w in words]
+
+    def _joined_bare(self, words: list[str], size: np.ndarray) -> None:
+        """Only words at the start of a line are bare: they are encoded one by one."""
+
+    def whole(self, text: str) -> int:
+        """The length of a text that is encoded as it is."""
+        return len(self.bpe.encode_ordinary(text) if hasattr(self, "bpe") else self.model.encode(text, num_threads=1))
+
     def _joined_pieces(self, words: list[str], size: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of all words, of size bytes each, and the number of ids of each, from longer strings; None where word starts are unclear."""
         got = self.model.encode([" ".join(words[i : i + 24]) for i in range(0, len(words), 24)], num_threads=1)
@@ -89,8 +112,9 @@ def _whole(piece: bytes) -> bool:
 class WordTable:
     """Word hash -> place in one flat array of piece ids; numbers of pieces, of characters and of byte pieces."""
 
-    def __init__(self, path: str) -> None:
-        self.vocabulary = Vocabulary(path)
+    def __init__(self, path: str, bare: bool = False) -> None:
+        self.vocabulary = Vocabulary(path, bare)
+        self.gaps: dict[bytes, int] = {}
         self.clear()
 
     def clear(self) -> None:
@@ -160,9 +184,21 @@ class WordTable:
         self.keys, self.start, self.n, self.chars, self.broken = (np.insert(old, to, x) for old, x in ((self.keys, h), (self.start, start), (self.n, n), (self.chars, chars), (self.broken, broken)))
 
 
+    def gap(self, raw: bytes) -> int:
+        """The length of a run of white space that no word takes a space of."""
+        n = self.gaps.get(raw)
+        if n is None:
+            if len(self.gaps) >= CACHE_GAPS:
+                self.gaps.clear()
+            n = self.vocabulary.whole(raw.decode())
+            if len(raw) <= LONG_GAP:
+                self.gaps[raw] = n
+        return n
+
+
 @cache
-def word_table(model: str) -> WordTable:
-    return WordTable(model)
+def word_table(model: str, bare: bool = False) -> WordTable:
+    return WordTable(model, bare)
 
 
 def measure_docs(data: np.ndarray, offs: np.ndarray, model: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -185,3 +221,35 @@ def encode_docs(data: np.ndarray, offs: np.ndarray, model: str) -> tuple[np.ndar
     out = np.zeros(docs + 1, np.int64)
     np.cumsum(np.bincount(rows, n, docs), out=out[1:])
     return ids, out, *(np.bincount(rows, x[at], docs).astype(np.int64) for x in (have.chars, have.broken))
+
+
+def count_docs(data: np.ndarray, offs: np.ndarray, model: str) -> np.ndarray:
+    """The number of tokens of each text of a chunk from rows_of() under its own tokeniser."""
+    have, docs = word_table(model), len(offs) - 1
+    if not model.endswith(".tiktoken"):
+        return np.array([have.vocabulary.whole(data[a:b].tobytes().decode()) if b > a else 0 for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())], np.int64)
+    starts, ends, rows = word_spans(data, offs, SPACE_SPLIT)
+    n = np.zeros(docs, np.int64)
+    spaced = (starts > offs[rows]) & (data[starts - 1] == 32)
+    for table, own in ((have, spaced), (word_table(model, True), ~spaced)):
+        if own.any():
+            at = table.places(data, starts[own], ends[own])
+            n += np.bincount(rows[own], table.n[at], docs).astype(np.int64)
+    # White space before each word, less the space that the word takes, and at the end of each text.
+    first = np.ones(len(starts), bool)
+    first[1:] = rows[1:] != rows[:-1]
+    last_end = offs[:-1].copy()
+    last_end[rows] = ends  # the last word of a text stands
+    lo = np.where(first, offs[rows], np.append(0, ends[:-1]))
+    # A word takes a single space; any other last character stands alone, apart from the run before it.
+    n += np.bincount(rows, (starts > lo) & ~spaced, docs).astype(np.int64)
+    lo, hi, row = np.concatenate([lo, last_end]), np.concatenate([np.maximum(starts - 1, lo), offs[1:]]), np.concatenate([rows, np.arange(docs)])
+    size = hi - lo
+    n += np.bincount(row, size == 1, docs).astype(np.int64)
+    for i in np.flatnonzero(size > 1).tolist():
+        n[row[i]] += have.gap(data[lo[i] : hi[i]].tobytes())
+    raw = data.tobytes()
+    wide = np.array([m.start() for m in _WIDE_SPACE.finditer(raw)], np.int64)
+    for i in np.unique(np.searchsorted(offs, wide, side="right") - 1).tolist():
+        n[i] = have.vocabulary.whole(raw[offs[i] : offs[i + 1]].decode())
+    return n

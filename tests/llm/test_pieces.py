@@ -39,3 +39,17 @@ def test_a_full_table_starts_anew(monkeypatch):
         assert n.tolist() == [sum(map(len, have.vocabulary.each(t.split()))) for t in texts[lo:hi]]
         assert len(have.keys) <= 50
     have.clear()
+
+
+def test_counts_of_whole_texts_are_those_of_the_tokeniser():
+    rng = random.Random(3)
+    gaps = ["", " ", "  ", "\n", "\n\n", "\t", "\r\n", " \n "]
+    plain = [x for x in ODD if not x.isspace()]
+    texts = ["".join(rng.choice(kind) + rng.choice(gaps) for _ in range(rng.randrange(14))) for kind in (ODD, plain) for _ in range(2000)]
+    texts += ["", " ", "\n", " \n", "x" * 5000, "long " * 4000, "\n" * 3000, " " * 3000 + "x"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    for model in (pieces.SECOND_MODEL, pieces.DEFAULT_MODEL):
+        whole = pieces.word_table(model).vocabulary.whole
+        for size in (300, 1 << 20):
+            got = np.concatenate([pieces.count_docs(data, offs, model) for _, _, data, offs in rows_of(batch, max_bytes=size)])
+            assert got.tolist() == [whole(t) if t else 0 for t in texts]
