@@ -164,3 +164,7 @@ def test_findings_leave_a_batch_slice_by_slice(spark, monkeypatch):
 def test_cleaned_texts_leave_a_batch_slice_by_slice(spark, monkeypatch):
     for profile in ("prose", "code", "data"):
         assert_sliced(U._clean, monkeypatch, profile)
+
+
+def test_terminal_texts_leave_a_batch_slice_by_slice(spark, monkeypatch):
+    assert_sliced(U.terminal_safe, monkeypatch)
