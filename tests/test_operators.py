@@ -168,3 +168,10 @@ def test_cleaned_texts_leave_a_batch_slice_by_slice(spark, monkeypatch):
 
 def test_terminal_texts_leave_a_batch_slice_by_slice(spark, monkeypatch):
     assert_sliced(U.terminal_safe, monkeypatch)
+
+
+def test_a_filter_on_reports_runs_the_inspection_once(spark):
+    d = spark.createDataFrame([(1, "a​b"), (2, "plain"), (3, None)], "doc_id int, text string")
+    r = inspection.reports(d).where("total > 0")
+    assert r._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert [x.doc_id for x in r.collect()] == [1]
