@@ -175,3 +175,7 @@ def test_a_filter_on_reports_runs_the_inspection_once(spark):
     r = inspection.reports(d).where("total > 0")
     assert r._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
     assert [x.doc_id for x in r.collect()] == [1]
+
+
+def test_stripped_texts_leave_a_batch_slice_by_slice(spark, monkeypatch):
+    assert_sliced(U.strip_invisible, monkeypatch)
