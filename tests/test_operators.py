@@ -179,3 +179,9 @@ def test_a_filter_on_reports_runs_the_inspection_once(spark):
 
 def test_stripped_texts_leave_a_batch_slice_by_slice(spark, monkeypatch):
     assert_sliced(U.strip_invisible, monkeypatch)
+
+
+def test_regions_runs_and_folds_leave_a_batch_slice_by_slice(spark, monkeypatch):
+    for udf in (U.protected_regions, U.suspicious_runs, U.load_bearing, U.fold_confusables, U.scripts_in):
+        assert_sliced(udf, monkeypatch)
+    assert_sliced(inspection._json, monkeypatch, "source")
