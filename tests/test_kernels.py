@@ -140,3 +140,18 @@ def test_linear(unit):
 
 def test_terminal_safe():
     assert K.terminal_safe("a\x1b[0m‮؜é") == "a\\x1b[0m\\u202e\\u061cé"
+
+
+def test_texts_whose_scripts_are_no_mix_are_not_searched_for_words(monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    words = [("".join(rng.choice("abTеппαωüé漢かカ한ع1_ं") for _ in range(rng.randrange(1, 5)))) for _ in range(4000)]
+    texts = [" ".join(rng.choice(words[at : at + 6]) for _ in range(4)) for at in range(0, 3900)]
+    got = [K.suspicious_runs(t) for t in texts]
+    with monkeypatch.context() as m:
+        m.setattr(K, "_may_mix", lambda text: True)
+        assert [K.suspicious_runs(t) for t in texts] == got
+    assert any(got) and not all(got)
+    monkeypatch.setattr(K, "_word", None)
+    assert K.suspicious_runs("Grüße aus Köln — “ça va” ①") == [] and K.suspicious_runs("привет мир 1") == []
